@@ -158,14 +158,16 @@ def _with_coordinates(cell: DataFrame) -> DataFrame:
     )
 
 
-def to_columns(cells: DataFrame, bindings: Sequence[Binding]) -> DataFrame:
+def to_columns(
+    cells: DataFrame, bindings: Sequence[Binding], keep: Sequence[str] = ()
+) -> DataFrame:
     """Long table of one kind of cube, a column per label and code."""
     columns = []
     for i, binding in enumerate(bindings):
         columns.append(F.col("labels")[i].alias(binding.label))
         if binding.code is not None:
             columns.append(F.col("codes")[i].alias(binding.code))
-    return cells.select("index", *columns, "value", "value__symbol")
+    return cells.select(*keep, "index", *columns, "value", "value__symbol")
 
 
 def prefix(chunks: DataFrame, rows: int) -> DataFrame:

@@ -12,6 +12,7 @@ from sievetable.operators.quality import column_stats
 
 SAMPLE_ROWS = 500
 EVIDENCE = 3
+HEAD_ROWS = 200
 
 
 def infer_schema(
@@ -37,45 +38,52 @@ def infer_schema(
         truncated = head.agg((F.count(F.lit(1)) > sample_rows).alias("t")).scalar()
     stats = column_stats(seen, df.columns)
     evidence = first_values(seen, order, df.columns)
+    shown = F.lit(None).cast("array<string>")
+    for name, values in evidence.items():
+        listed = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        shown = F.when(F.col("field") == name, listed).otherwise(shown)
     merged = cells.merged_type(F.col("type_mask"))
     declared = F.col("field").isin(*code_columns) if code_columns else F.lit(False)
-    return stats.join(evidence, "column").select(
+    return stats.select(
         F.col("column"),
         F.col("field").alias("name"),
         F.when(declared, F.lit("string")).otherwise(merged).alias("type"),
         (truncated | (F.col("non_null") < F.col("rows"))).alias("nullable"),
-        "evidence",
+        shown.alias("evidence"),
         F.col("rows").alias("sampled_rows"),
     )
 
 
-def first_values(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+def first_values(
+    df: DataFrame, order: Sequence[Column], columns: Sequence[str]
+) -> dict[str, list[str]]:
     """The first three distinct non-empty values of each column, in row order.
 
-    Three one-row aggregates, each given the values found before it as scalar
-    subqueries: no value is shuffled and no set of distinct values is built.
+    The first rows settle most columns. For the others the search goes on over
+    the whole table with the values known so far, one aggregate per value: no
+    set of distinct values is built, and the driver sees three per column.
     """
+    texts = [F.col(cells.quoted(c)).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in df.orderBy(*order).limit(HEAD_ROWS).select(*texts).collect():
+        for i, name in enumerate(columns):
+            value, known = row[i], found[name]
+            if value and value not in known and len(known) < EVIDENCE:
+                known.append(value)
     position = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    found: list[Column] = []
-    for _ in range(EVIDENCE):
+    open_columns = [c for c in columns if len(found[c]) < EVIDENCE]
+    while open_columns:
         aggregates = []
-        for i, name in enumerate(columns):
+        for i, name in enumerate(open_columns):
             value = F.col(cells.quoted(name)).cast("string")
-            wanted = value.isNotNull() & (value != "")
-            for earlier in found:
-                wanted = wanted & (value != earlier.getField(f"v{i}"))
+            wanted = value.isNotNull() & ~value.isin("", *found[name])
             aggregates.append(F.min_by(value, F.when(wanted, position)).alias(f"v{i}"))
-        found.append(df.agg(*aggregates).select(F.struct("*").alias("v")).scalar())
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).alias("column"),
-                F.array_compact(F.array(*[e.getField(f"v{i}") for e in found])).alias("evidence"),
-            )
-            for i in range(len(columns))
-        ]
-    )
-    return df.sparkSession.range(1).select(F.inline(rows))
+        row = df.agg(*aggregates).first()
+        added = [(name, row[i]) for i, name in enumerate(open_columns) if row[i] is not None]
+        for name, value in added:
+            found[name].append(value)
+        open_columns = [name for name, _ in added if len(found[name]) < EVIDENCE]
+    return found
 
 
 def layer_schema(df: DataFrame) -> DataFrame:
