@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievetable.errors import DataError
+from sievetable.functions.cells import quoted
 from sievetable.messages import ISSUE_SCHEMA
 from sievetable.operators.quality import issue, validate
 from sievetable.sources.headers import plan_header
@@ -144,12 +145,17 @@ def validate_delimited(
         .option("nullValue", NO_NULL)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", RAW_COLUMN)
+        .option("columnPruning", False)
         .schema(T.StructType(fields))
         .csv(path)
     )
     numbered = number_text_rows(rows)
-    width = record_width(F.col(RAW_COLUMN), delimiter)
-    ragged = numbered.filter(F.col(RAW_COLUMN).isNotNull()).withColumn("width", width)
+    # The reader gives the raw record only next to a data column; an empty piece
+    # of the first column keeps it in the scan.
+    nothing = F.coalesce(F.substring(F.col(quoted(names[0])), 1, 0), F.lit(""))
+    raw = F.concat(F.col(RAW_COLUMN), nothing)
+    width = record_width(raw, delimiter)
+    ragged = numbered.filter(raw.isNotNull()).select("row", width.alias("width"))
     uneven = ragged.filter(F.col("width") != len(names))
     widths = uneven.select(
         *issue(

@@ -6,6 +6,8 @@ Input rows have ``path`` and ``content``, and may have ``media_type`` and
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,11 @@ def sample_text(content: Column) -> Column:
     return F.regexp_replace(text, r"\A\x{FEFF}", "")
 
 
+def count(delimiter: str, line: Column) -> Column:
+    """Occurrences of a delimiter in a line."""
+    return F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
+
+
 def sniff_delimiter(text: Column) -> Column:
     """Delimiter with the same positive count on each of the first ten lines.
 
@@ -114,13 +121,11 @@ def sniff_delimiter(text: Column) -> Column:
     )
     first = F.slice(lines, 1, 10)
 
-    def count(line: Column, delimiter: str) -> Column:
-        return F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
-
     scored = []
     for place, delimiter in enumerate(DELIMITERS):
-        here = count(first[0], delimiter)
-        steady = F.forall(first, lambda line, d=delimiter, n=here: count(line, d) == n)
+        counts = F.transform(first, partial(count, delimiter))
+        here = counts[0]
+        steady = F.array_min(counts) == F.array_max(counts)
         ok = (F.size(first) >= 2) & (here > 0) & steady
         scored.append(
             F.when(
@@ -141,11 +146,8 @@ def structured_content(text: Column, fallback: Column | None = None) -> Column:
     first = F.slice(lines, 1, 5)
 
     def steady(delimiter: str) -> Column:
-        def count(line: Column) -> Column:
-            return F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
-
-        here = count(first[0])
-        return (here > 0) & F.forall(first, lambda line: count(line) == here)
+        counts = F.transform(first, partial(count, delimiter))
+        return (counts[0] > 0) & (F.array_min(counts) == F.array_max(counts))
 
     bracket, brace = trimmed.startswith("["), trimmed.startswith("{")
     whole = F.try_parse_json(trimmed).isNotNull()

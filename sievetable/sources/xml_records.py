@@ -151,7 +151,7 @@ def xml_records(documents: DataFrame) -> DataFrame:
                 batch["document"], batch["xml"], batch["record_path"], strict=True
             ):
                 rows = [
-                    (document, place, list(fields.items()))
+                    (document, place, fields)
                     for place, fields in enumerate(_records(xml, path))
                 ]
                 for low in range(0, len(rows), 10_000):
