@@ -57,12 +57,11 @@ def calendar_date(text: Column) -> Column:
 
 
 def _number_or_date(text: Column, lead: str) -> Column:
-    exact = (F.octet_length(text) == 10) & text.rlike(EXACT_DATE_TEXT) & _real_day(text)
     padded = (F.octet_length(text) > 10) & calendar_date(text).isNotNull()
     return (
         F.when(text.rlike(rf"\A{lead}{INTEGER_TEXT}{_WS}\z"), F.lit(INTEGER))
         .when(text.rlike(rf"\A{lead}{DOUBLE_TEXT}{_WS}\z"), F.lit(DOUBLE))
-        .when(exact | padded, F.lit(DATE))
+        .when(_is_bare_date(text) | padded, F.lit(DATE))
         .when(
             (F.octet_length(text) > 15) & text.rlike(rf"\A{lead}{TIMESTAMP_TEXT}{_WS}\z"),
             F.lit(TIMESTAMP),
@@ -70,6 +69,16 @@ def _number_or_date(text: Column, lead: str) -> Column:
     )
 
 
+def _is_bare_date(text: Column) -> Column:
+    dashed = (F.octet_length(text) == 10) & (F.substring(text, 5, 1) == "-")
+    return dashed & text.rlike(EXACT_DATE_TEXT) & _real_day(text)
+
+
+def _is_bare_integer(text: Column) -> Column:
+    """A cast settles most whole numbers; it would also trim control characters."""
+    return text.try_cast("bigint").isNotNull() & (F.ascii(F.substring(text, -1, 1)) > 32)
+
+
 def _boolean(text: Column, lead: str) -> Column:
     return F.when(text.rlike(rf"\A{lead}{BOOLEAN_TEXT}{_WS}\z"), F.lit(BOOLEAN))
 
@@ -84,6 +93,8 @@ def text_type(text: Column) -> Column:
     string = F.lit(STRING)
     return (
         F.when(text.isNull() | (text == ""), F.lit(NULL))
+        .when(first.isin(*_NUMBER_STARTS) & _is_bare_integer(text), F.lit(INTEGER))
+        .when(first.isin(*_NUMBER_STARTS) & _is_bare_date(text), F.lit(DATE))
         .when(first.isin(*_NUMBER_STARTS), F.coalesce(_number_or_date(text, ""), string))
         .when(first.isin(*_BOOLEAN_STARTS), F.coalesce(_boolean(text, ""), string))
         .when(first.between(33, 126), string)

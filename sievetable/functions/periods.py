@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 # Text forms of a period per scale.
 PERIOD_TEXT = {
-    "A": r"\A(\d{4})()()\z",
-    "H": r"\A(\d{4})[Hh]?([12])()\z",
-    "Q": r"\A(\d{4})[Qq]?([1-4])()\z",
-    "M": r"\A(\d{4})[Mm]?(0[1-9]|1[0-2])()\z",
-    "W": r"\A(\d{4})[Ww]?(0[1-9]|[1-4]\d|5[0-3])()\z",
-    "D": r"\A(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\z",
+    "A": r"\A\d{4}\z",
+    "H": r"\A\d{4}[Hh]?[12]\z",
+    "Q": r"\A\d{4}[Qq]?[1-4]\z",
+    "M": r"\A\d{4}[Mm]?(?:0[1-9]|1[0-2])\z",
+    "W": r"\A\d{4}[Ww]?(?:0[1-9]|[1-4]\d|5[0-3])\z",
+    "D": r"\A\d{4}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\z",
 }
 
 
@@ -28,10 +28,10 @@ def iso_weeks_in_year(year: Column) -> Column:
 
 def period_ordinal(text: Column, scale: str) -> Column:
     """Ordinal of one period of the given scale, or null."""
-    pattern = PERIOD_TEXT[scale]
-    shaped = text.rlike(pattern)
-    year = F.regexp_extract(text, pattern, 1).try_cast("int")
-    part = F.regexp_extract(text, pattern, 2).try_cast("int")
+    shaped = text.rlike(PERIOD_TEXT[scale])
+    # The pattern fixes where the parts are, so plain substrings take them out.
+    year = F.substring(text, 1, 4).try_cast("int")
+    part = F.substring(text, -1 if scale in "HQ" else -2, 2).try_cast("int")
     if scale == "A":
         ordinal = year
     elif scale == "H":
@@ -47,8 +47,8 @@ def period_ordinal(text: Column, scale: str) -> Column:
         weeks = F.floor((monday + (part - 1) * 7) / 7)
         ordinal = F.when(part <= iso_weeks_in_year(year), weeks)
     else:
-        day = F.regexp_extract(text, pattern, 3)
-        iso = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), day)
+        month, day = F.substring(text, 5, 2), F.substring(text, 7, 2)
+        iso = F.concat_ws("-", F.substring(text, 1, 4), month, day)
         ordinal = F.unix_date(iso.try_cast("date"))
     return F.when(shaped, ordinal).cast("bigint")
 

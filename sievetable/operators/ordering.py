@@ -16,28 +16,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_RANGES = 4096
+ROWS_PER_RANGE = 50_000
 _SAMPLES_PER_RANGE = 16
 
 
-def default_ranges(df: DataFrame) -> int:
-    """Four ranges per shuffle partition, so ranges grow with the cluster."""
-    return min(MAX_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def range_count(df: DataFrame, rows: int) -> int:
+    """Ranges of about 50,000 rows, at most four per shuffle partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MAX_RANGES, 4 * partitions, rows // ROWS_PER_RANGE))
 
 
-def sampled_edges(df: DataFrame, key: Column, ranges: int) -> list:
+def sampled_edges(df: DataFrame, key: Column, ranges: int | None = None) -> list:
     """Range edges from about 16 sampled rows per range.
 
     The key is computed for sampled rows only. The driver receives a number of
-    rows set by ``ranges``, whatever the size of the table.
+    rows set by the number of ranges, whatever the size of the table.
     """
-    wanted = ranges * _SAMPLES_PER_RANGE
     total = df.count()
+    ranges = ranges or range_count(df, total)
+    if ranges == 1:
+        return []
+    wanted = ranges * _SAMPLES_PER_RANGE
     if total > wanted:
         df = df.sample(fraction=wanted / total, seed=17)
-    rows = [row[0] for row in df.select(key.alias("_key")).distinct().orderBy("_key").collect()]
-    if len(rows) <= ranges:
-        return rows
-    return [rows[i * len(rows) // ranges] for i in range(1, ranges)]
+    found = df.agg(F.array_sort(F.collect_set(key)).alias("keys")).first()["keys"]
+    if len(found) <= ranges:
+        return found
+    return [found[i * len(found) // ranges] for i in range(1, ranges)]
 
 
 def _key(order: Sequence[Column]) -> Column:
@@ -96,7 +101,7 @@ def running_total(
     keyed = df.withColumn("_key", key).withColumn("_weight", weight.cast("bigint"))
     key_type = keyed.schema["_key"].dataType
     source, source_order = sample or (df, order)
-    edges = sampled_edges(source, _key(source_order), ranges or default_ranges(df))
+    edges = sampled_edges(source, _key(source_order), ranges)
     ranged = keyed.withColumn("_range", _range_of(F.col("_key"), edges, key_type))
 
     # At most len(edges) + 1 rows reach this un-partitioned window.

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievetable.sources.batches import in_frames
+
 # Archive bounds, and extensions that are data or archives.
 MAX_ENTRIES = 10_000
 MAX_PATH_BYTES = 1_024
@@ -42,28 +44,23 @@ def read_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> Dat
 def archive_entries(archives: DataFrame) -> DataFrame:
     """Entry rows of each archive; an unreadable archive is one row with ``error``."""
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for archive, content in zip(batch["archive"], batch["content"], strict=True):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as opened:
+                    listed = opened.infolist()
+            except (zipfile.BadZipFile, ValueError, EOFError) as error:
+                yield (archive, *[None] * 6, str(error))
+                continue
+            for e in listed:
+                encrypted, mode = bool(e.flag_bits & 1), e.external_attr >> 16
+                sizes = e.compress_size, e.file_size
+                yield archive, e.orig_filename, *sizes, encrypted, mode, e.is_dir(), None
+
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
         for batch in batches:
-            for archive, content in zip(batch["archive"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                        rows = [
-                            (
-                                archive,
-                                e.orig_filename,
-                                e.compress_size,
-                                e.file_size,
-                                bool(e.flag_bits & 1),
-                                e.external_attr >> 16,
-                                e.is_dir(),
-                                None,
-                            )
-                            for e in opened.infolist()
-                        ]
-                except (zipfile.BadZipFile, ValueError, EOFError) as error:
-                    rows = [(archive, None, None, None, None, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=names)
+            yield from in_frames(rows(batch), names)
 
     return archives.select("archive", "content").mapInPandas(listing, ENTRY_SCHEMA)
 
@@ -127,16 +124,19 @@ def extract_entries(archives: DataFrame, choices: DataFrame) -> DataFrame:
     """(archive, entry, content) of the chosen entries, bounded in size."""
     chosen = choices.filter(F.col("entry").isNotNull()).select("archive", "entry")
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for archive, content, entry in zip(
+            batch["archive"], batch["content"], batch["entry"], strict=True
+        ):
+            with zipfile.ZipFile(io.BytesIO(content)) as opened, opened.open(entry) as part:
+                data = part.read(MAX_ENTRY_BYTES + 1)
+            if len(data) > MAX_ENTRY_BYTES:
+                raise ValueError(f"{archive}: entry {entry} is too large")
+            yield archive, entry, data
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content, entry in zip(
-                batch["archive"], batch["content"], batch["entry"], strict=True
-            ):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened, opened.open(entry) as part:
-                    data = part.read(MAX_ENTRY_BYTES + 1)
-                if len(data) > MAX_ENTRY_BYTES:
-                    raise ValueError(f"{archive}: entry {entry} is too large")
-                yield pd.DataFrame([(archive, entry, data)], columns=["archive", "entry", "content"])
+            yield from in_frames(rows(batch), ["archive", "entry", "content"], most=32)
 
     joined = archives.join(chosen, "archive").select("archive", "content", "entry")
     return joined.mapInPandas(extract, "archive string, entry string, content binary")

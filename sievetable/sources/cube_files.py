@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetable.functions.periods import period_ordinal
+from sievetable.sources.batches import in_frames
 
 CHUNK_CELLS = 65_536
 CODEPAGES = {"windows-1250": "cp1250", "utf-8": "utf-8"}
@@ -161,16 +162,18 @@ def read_cube_files(spark: SparkSession, path: str, pattern: str = "*.px") -> Da
 def statements(files: DataFrame) -> DataFrame:
     """One row per metadata value; an unreadable file is one row with ``error``."""
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for cube, content in zip(batch["cube"], batch["content"], strict=True):
+            try:
+                yield from [(cube, *entry, None) for entry in _statements(content)]
+            except (CubeFileError, UnicodeDecodeError) as error:
+                code = str(error) if isinstance(error, CubeFileError) else "INVALID_PCAXIS_DATA"
+                yield cube, 0, None, None, None, 0, None, code
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["cube", "place", "keyword", "language", "subkeys", "position", "value", "error"]
         for batch in batches:
-            for cube, content in zip(batch["cube"], batch["content"], strict=True):
-                try:
-                    rows = [(cube, *entry, None) for entry in _statements(content)]
-                except (CubeFileError, UnicodeDecodeError) as error:
-                    code = str(error) if isinstance(error, CubeFileError) else "INVALID_PCAXIS_DATA"
-                    rows = [(cube, 0, None, None, None, 0, None, code)]
-                yield pd.DataFrame(rows, columns=names)
+            yield from in_frames(rows(batch), names)
 
     return files.select("cube", "content").mapInPandas(split, STATEMENT_SCHEMA)
 
@@ -178,16 +181,17 @@ def statements(files: DataFrame) -> DataFrame:
 def cell_chunks(files: DataFrame) -> DataFrame:
     """Cell chunks of each file, for the cube decoder."""
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for cube, content in zip(batch["cube"], batch["content"], strict=True):
+            try:
+                for base, cells in _cell_chunks(content):
+                    yield cube, base, cells, None
+            except CubeFileError as error:
+                yield cube, 0, None, str(error)
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cube, content in zip(batch["cube"], batch["content"], strict=True):
-                try:
-                    for base, cells in _cell_chunks(content):
-                        row = (cube, base, cells, None)
-                        yield pd.DataFrame([row], columns=["cube", "base", "cells", "error"])
-                except CubeFileError as error:
-                    row = (cube, 0, None, str(error))
-                    yield pd.DataFrame([row], columns=["cube", "base", "cells", "error"])
+            yield from in_frames(rows(batch), ["cube", "base", "cells", "error"], most=64)
 
     return files.select("cube", "content").mapInPandas(split, CHUNK_SCHEMA)
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievetable.sources.batches import in_frames
+
 RECORD_PATH = r"\A(?:/[^/\s]+)+\z"
 MAX_DEPTH = 128
 
@@ -56,17 +58,17 @@ def _element_paths(xml: str) -> list[tuple[str, int, int]]:
 def element_paths(documents: DataFrame) -> DataFrame:
     """(document, path, occurrences, parents, error) from (document, xml)."""
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for document, xml in zip(batch["document"], batch["xml"], strict=True):
+            try:
+                yield from [(document, *entry, None) for entry in _element_paths(xml)]
+            except (expat.ExpatError, ValueError) as error:
+                yield document, None, 0, 0, str(error)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["document", "path", "occurrences", "parents", "error"]
         for batch in batches:
-            rows = []
-            for document, xml in zip(batch["document"], batch["xml"], strict=True):
-                try:
-                    rows += [(document, *entry, None) for entry in _element_paths(xml)]
-                except (expat.ExpatError, ValueError) as error:
-                    rows.append((document, None, 0, 0, str(error)))
-            yield pd.DataFrame(
-                rows, columns=["document", "path", "occurrences", "parents", "error"]
-            )
+            yield from in_frames(rows(batch), names)
 
     schema = "document string, path string, occurrences bigint, parents bigint, error string"
     return documents.select("document", "xml").mapInPandas(count, schema)
@@ -145,18 +147,16 @@ def xml_records(documents: DataFrame) -> DataFrame:
     attribute of the record, ``a/@x`` one further in. Repeats are kept in order.
     """
 
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for document, xml, path in zip(
+            batch["document"], batch["xml"], batch["record_path"], strict=True
+        ):
+            for place, fields in enumerate(_records(xml, path)):
+                yield document, place, fields
+
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for document, xml, path in zip(
-                batch["document"], batch["xml"], batch["record_path"], strict=True
-            ):
-                rows = [
-                    (document, place, fields)
-                    for place, fields in enumerate(_records(xml, path))
-                ]
-                for low in range(0, len(rows), 10_000):
-                    part = rows[low : low + 10_000]
-                    yield pd.DataFrame(part, columns=["document", "record", "fields"])
+            yield from in_frames(rows(batch), ["document", "record", "fields"])
 
     schema = "document string, record bigint, fields map<string, array<string>>"
     chosen = documents.filter(F.col("record_path").rlike(RECORD_PATH))

@@ -140,7 +140,7 @@ def document_archives(spark, sf_dir):
             contents = []
             for key, body in zip(batch["doc_id"], batch["text"], strict=True):
                 target = io.BytesIO()
-                with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as made:
+                with zipfile.ZipFile(target, "w") as made:
                     kind = key % 6
                     made.writestr("readme.txt", "about")
                     if kind in (0, 1):
@@ -152,7 +152,7 @@ def document_archives(spark, sf_dir):
                     if kind == 3:
                         made.writestr("inner.zip", b"PK")
                     if kind == 4:
-                        made.writestr("zeros.csv", "0" * 1_000_000)
+                        made.writestr("zeros.csv", "0" * 100_000, zipfile.ZIP_DEFLATED, 1)
                 content = target.getvalue()
                 contents.append(content[:20] if key % 60 == 5 else content)
             names = "a" + batch["doc_id"].astype(str)
