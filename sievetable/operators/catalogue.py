@@ -312,6 +312,14 @@ def require_listable(found: DataFrame, offset: int = 0) -> None:
         raise DataError("SEARCH_RESULT_LIMIT_EXCEEDED", "Too many results to list.", maximum=MAX_ALL_RESULTS)
 
 
+def listed_fields(datasets: DataFrame, fields: Sequence[str] = LIST_FIELDS) -> DataFrame:
+    """Columns of a snapshot list; only id, title and name exist there."""
+    unknown = [f for f in fields if f not in LIST_FIELDS]
+    if unknown:
+        raise DataError("FIELD_UNKNOWN", "A snapshot list has no such fields.", fields=unknown)
+    return datasets.select(*fields)
+
+
 def is_tabular() -> Column:
     """Resource rows whose format or media type holds a table."""
     return F.lower(_text("format")).isin(*TABULAR_FORMATS) | media_type(F.col("media_type")).isin(

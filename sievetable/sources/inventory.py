@@ -262,8 +262,8 @@ def detect(files: DataFrame) -> DataFrame:
 
 def file_issues(files: DataFrame) -> DataFrame:
     """INVALID_ENCODING and DELIMITER_MISMATCH per file, over whole files."""
-    valid = files.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"))
-    found = detect(files).join(valid, "path")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    found = detect(files.withColumn("valid_utf8", valid))
     text = F.col("format").isin("csv", "tsv", "json", "ndjson")
     encoding = F.coalesce(text & (F.col("encoding") == "utf-8") & ~F.col("valid_utf8"), F.lit(False))
     mismatch = ((F.col("extension") == "csv") & (F.col("format") == "tsv")) | (

@@ -175,7 +175,8 @@ def cat_search(spark, sf_dir):
 @query(
     "cat_search_page",
     _SOURCES
-    + """SELECT id, title, (SELECT count(*) FROM d WHERE license_id = 'cc-2') AS total, 60 AS next_offset
+    + """SELECT id, title, (SELECT count(*) FROM d WHERE license_id = 'cc-2') AS total,
+ CASE WHEN (SELECT count(*) FROM d WHERE license_id = 'cc-2') > 60 THEN 60 END AS next_offset
  FROM d WHERE license_id = 'cc-2' ORDER BY title, id LIMIT 20 OFFSET 40""",
 )
 def cat_search_page(spark, sf_dir):
