@@ -352,10 +352,8 @@ def parent_datasets(orphans: DataFrame, resources: DataFrame) -> DataFrame:
 
     ``resources`` is reduced to one parent per (url, id) first.
     """
-    known = resources.groupBy("url", "id").agg(
-        F.min("dataset_id").alias("dataset_id"), F.count(F.lit(1)).alias("copies")
-    )
-    return orphans.join(known.drop("copies"), ["url", "id"], "left")
+    known = resources.groupBy("url", "id").agg(F.min("dataset_id").alias("dataset_id"))
+    return salted_join(orphans, known, ["url", "id"], how="left", spread_by=orphans.columns)
 
 
 def dataset_resources(datasets: DataFrame, resources: DataFrame) -> DataFrame:

@@ -135,23 +135,21 @@ def decode(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
     placed = salted_join(
         chunks, meta, ["cube"], "expected", hot_weight=10_000_000, spread_by=["base"]
     )
-    cell = placed.select(
-        "cube", "base", "sizes", "strides", "labels", "codes", F.posexplode("cells").alias("at", "token")
+    # Labels are picked inside the chunk, so the exploded rows carry only their
+    # own labels and not the lists they were picked from.
+    pick = "transform(strides, (s, d) -> {0}[d][CAST(((base + at) DIV s) % sizes[d] AS INT)])"
+    cells = F.expr(
+        f"""transform(cells, (token, at) -> struct(
+              base + at AS index,
+              {pick.format("labels")} AS labels,
+              {pick.format("codes")} AS codes,
+              token))"""
     )
-    return _with_coordinates(cell.withColumn("index", F.col("base") + F.col("at")))
-
-
-def _with_coordinates(cell: DataFrame) -> DataFrame:
-    def pick(lists: str) -> Column:
-        return F.expr(
-            f"transform(strides, (s, d) -> {lists}[d][CAST((index DIV s) % sizes[d] AS INT)])"
-        )
-
-    return cell.select(
+    return placed.select("cube", F.inline(cells)).select(
         "cube",
         "index",
-        pick("labels").alias("labels"),
-        pick("codes").alias("codes"),
+        "labels",
+        "codes",
         cell_value(F.col("token")).alias("value"),
         cell_symbol(F.col("token")).alias("value__symbol"),
         "token",

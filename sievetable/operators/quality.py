@@ -83,7 +83,8 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
         else:
             text = f"CAST({value} AS STRING)"
         parts.append(f"coalesce(concat(octet_length({text}), ':', {text}), 'n')")
-    return F.expr(f"unhex(sha2(concat({', '.join(parts)}), 256))")
+    # Non-null by form: a join on it then does not hash the row a second time.
+    return F.expr(f"coalesce(unhex(sha2(concat({', '.join(parts)}), 256)), X'')")
 
 
 def _ref(name: str) -> Column:

@@ -59,4 +59,5 @@ def removable_objects(plan: DataFrame) -> DataFrame:
 def unreferenced(objects: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     """Stored objects that no live entry refers to."""
     live = entries.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-    return objects.join(live.select("sha256"), "sha256", "left_anti")
+    # An object that very many entries share is one row before the join.
+    return objects.join(live.select("sha256").distinct(), "sha256", "left_anti")

@@ -14,28 +14,34 @@ def salted_join(
     large: DataFrame,
     small: DataFrame,
     on: Sequence[str],
-    weight: str,
+    weight: str | None = None,
     *,
     how: str = "inner",
     salts: int = 64,
     hot_weight: int = 100_000,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join where ``small`` has one row per key and knows its key's ``weight``.
+    """Join where ``small`` has one row per key and ``large`` may be very uneven.
 
     The heaviest keys (at most 1000, so their broadcast is bounded) are spread
     over ``salts`` partitions; every other key takes the ordinary shuffle. All
-    rows keep their match: the limit only picks which keys are spread.
+    rows keep their match: the limit only picks which keys are spread. The
+    weight of a key is a column of ``small``, or its count in ``large``.
     """
     keys = list(on)
+    if weight is None:
+        weighed, weight = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight")), "_weight"
+    else:
+        weighed = small
     hot = (
-        small.filter(F.col(weight) >= hot_weight)
+        weighed.filter(F.col(weight) >= hot_weight)
         .orderBy(F.col(weight).desc(), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("_hot"))
     )
     spread = [F.col(c) for c in (spread_by or [c for c in large.columns if c not in keys])]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(-1))
+    slot = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    salt = F.coalesce(F.when(F.col("_hot"), slot), F.lit(-1))
     left = large.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("bigint"))
     copies = F.when(
         F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))

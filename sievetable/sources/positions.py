@@ -6,14 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_PIECES = 200_000
+SMALLEST_SPLIT_BYTES = 4 * 1024 * 1024
+
+
+def pieces_bound(df: DataFrame, *, splits: bool) -> int:
+    """Upper bound of the pieces of a scan, from file listing facts only."""
+    files = len(df.inputFiles())
+    if not splits:
+        return files
+    scanned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return files + scanned // SMALLEST_SPLIT_BYTES
+
+
 def number_file_rows(
-    df: DataFrame, piece: list[Column], place: Column, *, row: str = "row", start: int = 2
+    df: DataFrame,
+    piece: list[Column],
+    place: Column,
+    *,
+    pieces: int,
+    row: str = "row",
+    start: int = 2,
 ) -> DataFrame:
     """Add row numbers: rows of earlier pieces, plus the place within the piece.
 
     A piece is a file or a split of one. Only one small record per piece is
-    summed in order; the rows stay where they were read. The join takes the
-    strategy that the measured size of the pieces allows.
+    summed in order. Up to 200,000 pieces those records are broadcast and the
+    rows stay where they were read; beyond that the join shuffles.
     """
     names = [f"_p{i}" for i in range(len(piece))]
     tagged = df.withColumns(dict(zip(names, piece, strict=True))).withColumn("_at", place)
@@ -24,6 +43,8 @@ def number_file_rows(
     offsets = sizes.select(
         *names, "_least", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
     )
+    if pieces <= MAX_BROADCAST_PIECES:
+        offsets = F.broadcast(offsets)
     numbered = tagged.join(offsets, names)
     number = F.col("_before") + F.col("_at") - F.col("_least") + start
     return numbered.withColumn(row, number).drop(*names, "_at", "_least", "_before")
@@ -32,7 +53,12 @@ def number_file_rows(
 def number_parquet_rows(df: DataFrame, *, row: str = "row", start: int = 2) -> DataFrame:
     """Row numbers of a Parquet scan, from the row index inside each file."""
     return number_file_rows(
-        df, [F.col("_metadata.file_path")], F.col("_metadata.row_index"), row=row, start=start
+        df,
+        [F.col("_metadata.file_path")],
+        F.col("_metadata.row_index"),
+        pieces=pieces_bound(df, splits=False),
+        row=row,
+        start=start,
     )
 
 
@@ -43,4 +69,7 @@ def number_text_rows(df: DataFrame, *, row: str = "row", start: int = 2) -> Data
     place within it.
     """
     pieces = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
-    return number_file_rows(df, pieces, F.monotonically_increasing_id(), row=row, start=start)
+    bound = pieces_bound(df, splits=True)
+    return number_file_rows(
+        df, pieces, F.monotonically_increasing_id(), pieces=bound, row=row, start=start
+    )
