@@ -7,7 +7,7 @@ shuffle beyond one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,17 +56,10 @@ def calendar_date(text: Column) -> Column:
     return F.when(_real_day(day), day.try_cast("date"))
 
 
-def _number_or_date(text: Column, lead: str) -> Column:
-    padded = (F.octet_length(text) > 10) & calendar_date(text).isNotNull()
-    return (
-        F.when(text.rlike(rf"\A{lead}{INTEGER_TEXT}{_WS}\z"), F.lit(INTEGER))
-        .when(text.rlike(rf"\A{lead}{DOUBLE_TEXT}{_WS}\z"), F.lit(DOUBLE))
-        .when(_is_bare_date(text) | padded, F.lit(DATE))
-        .when(
-            (F.octet_length(text) > 15) & text.rlike(rf"\A{lead}{TIMESTAMP_TEXT}{_WS}\z"),
-            F.lit(TIMESTAMP),
-        )
-    )
+def lead_trimmed(text: Column) -> Column:
+    """Text without leading whitespace, unless it is nothing but whitespace."""
+    bare = F.nullif(F.regexp_replace(text, rf"\A{_WS}", ""), F.lit(""))
+    return F.when(F.ascii(text).between(33, 126), text).otherwise(F.coalesce(bare, text))
 
 
 def _is_bare_date(text: Column) -> Column:
@@ -74,32 +67,39 @@ def _is_bare_date(text: Column) -> Column:
     return dashed & text.rlike(EXACT_DATE_TEXT) & _real_day(text)
 
 
-def _is_bare_integer(text: Column) -> Column:
-    """A cast settles most whole numbers; it would also trim control characters."""
-    return text.try_cast("bigint").isNotNull() & (F.ascii(F.substring(text, -1, 1)) > 32)
-
+def trimmed_text_type(text: Column) -> Column:
+    """Type bit of text that ``lead_trimmed`` gave.
 
-def _boolean(text: Column, lead: str) -> Column:
-    return F.when(text.rlike(rf"\A{lead}{BOOLEAN_TEXT}{_WS}\z"), F.lit(BOOLEAN))
+    The first code point settles most text without a pattern.
+    """
+    number = F.ascii(text).isin(*_NUMBER_STARTS)
+    padded = (F.octet_length(text) > 10) & calendar_date(text).isNotNull()
+    timed = (F.octet_length(text) > 15) & text.rlike(rf"\A{TIMESTAMP_TEXT}{_WS}\z")
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(NULL))
+        .when(F.ascii(text).isin(*_BOOLEAN_STARTS) & text.rlike(rf"\A{BOOLEAN_TEXT}{_WS}\z"), F.lit(BOOLEAN))
+        .when(~number, F.lit(STRING))
+        .when(_is_bare_date(text), F.lit(DATE))
+        .when(text.rlike(rf"\A{INTEGER_TEXT}{_WS}\z"), F.lit(INTEGER))
+        .when(text.rlike(rf"\A{DOUBLE_TEXT}{_WS}\z"), F.lit(DOUBLE))
+        .when(padded, F.lit(DATE))
+        .when(timed, F.lit(TIMESTAMP))
+        .otherwise(F.lit(STRING))
+    )
 
 
 def text_type(text: Column) -> Column:
-    """Type bit of one text cell (0 for null and for exactly empty text).
+    """Type bit of one text cell (0 for null and for exactly empty text)."""
+    return trimmed_text_type(lead_trimmed(text))
+
+
+def with_text_type(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Add the type bit of a text column, trimming each cell once.
 
-    The first code point settles most text without a pattern; only text that
-    starts with whitespace or beyond ASCII needs the patterns that skip it.
+    Two steps keep the generated code short enough for the JVM to compile.
     """
-    first = F.ascii(text)
-    string = F.lit(STRING)
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(NULL))
-        .when(first.isin(*_NUMBER_STARTS) & _is_bare_integer(text), F.lit(INTEGER))
-        .when(first.isin(*_NUMBER_STARTS) & _is_bare_date(text), F.lit(DATE))
-        .when(first.isin(*_NUMBER_STARTS), F.coalesce(_number_or_date(text, ""), string))
-        .when(first.isin(*_BOOLEAN_STARTS), F.coalesce(_boolean(text, ""), string))
-        .when(first.between(33, 126), string)
-        .otherwise(F.coalesce(_number_or_date(text, _WS), _boolean(text, _WS), string))
-    )
+    trimmed = df.withColumn("_trimmed", lead_trimmed(F.col(column)))
+    return trimmed.withColumn(kind, trimmed_text_type(F.col("_trimmed"))).drop("_trimmed")
 
 
 def is_text(data_type: T.DataType) -> bool:
@@ -152,8 +152,8 @@ def cell_type(column: Column, data_type: T.DataType) -> Column:
 # expression string rather than many small objects.
 FORMULA_SQL = "substring({c}, 1, 1) IN ('=', '+', '-', '@')"
 IMPOSSIBLE_DATE_SQL = (
-    "(octet_length({c}) = 10 AND NOT ({c} >= '0100' AND try_cast({c} AS DATE) IS NOT NULL)"
-    rf" AND {{c}} RLIKE r'\A\d{{{{4}}}}-\d{{{{2}}}}-\d{{{{2}}}}\z')"
+    rf"(octet_length({{c}}) = 10 AND {{c}} RLIKE r'\A\d{{{{4}}}}-\d{{{{2}}}}-\d{{{{2}}}}\z'"
+    " AND NOT ({c} >= '0100' AND try_cast({c} AS DATE) IS NOT NULL))"
 )
 
 

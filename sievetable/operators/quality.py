@@ -95,8 +95,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """One row per column: rows, non-null cells, set of types, and both flags.
 
     Typed columns are counted in place. Text cells are listed per row and
-    classified one at a time, so the generated code is as small for a thousand
-    columns as for one. The two parts read different columns of the table.
+    classified one at a time, so the plan is as small for a thousand columns as
+    for one. The two parts read different columns of the table.
     """
     names = list(columns or df.columns)
     fields = [(i + 1, df.schema[name]) for i, name in enumerate(names)]
@@ -151,7 +151,7 @@ def _text_stats(df: DataFrame, fields: Sequence[tuple[int, T.StructField]]) -> D
     listed = F.array(*[_ref(f.name).cast("string") for _, f in fields])
     places = F.array(*[F.lit(i) for i, _ in fields])
     cell = df.select(F.posexplode(listed).alias("at", "text"))
-    kinds = cell.select("at", cells.text_type(F.col("text")).alias("kind"))
+    kinds = cells.with_text_type(cell, "text", "kind").select("at", "kind")
     counted = kinds.groupBy("at").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(F.when(F.col("kind") != cells.NULL, True)).alias("non_null"),

@@ -15,7 +15,7 @@ def pieces_bound(df: DataFrame, *, splits: bool) -> int:
     files = len(df.inputFiles())
     if not splits:
         return files
-    scanned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    scanned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return files + scanned // SMALLEST_SPLIT_BYTES
 
 

@@ -327,6 +327,7 @@ def cell_types_documents(spark, sf_dir):
     from sievetable.functions import cells
 
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    kind = cells.text_type(F.col("line"))
-    named = F.when(kind == 0, "null").otherwise(cells.type_names(kind))
-    return lines.groupBy(named.alias("kind")).agg(F.count(F.lit(1)).alias("cells"))
+    typed = cells.with_text_type(lines, "line", "kind")
+    counted = typed.groupBy("kind").agg(F.count(F.lit(1)).alias("cells"))
+    named = F.when(F.col("kind") == 0, "null").otherwise(cells.type_names(F.col("kind")))
+    return counted.select(named.alias("kind"), "cells")
