@@ -45,7 +45,8 @@ def detect_path(
     first = files.agg(F.min("path").alias("path")).first().path
     if first is None:
         raise DataError("LOCAL_FILE_NOT_FOUND", "There is no file at the path.", path=path)
-    chosen = files.filter(F.col("path") == first).select(
+    # Read that one file: a filter on the path would still open the others.
+    chosen = spark.read.format("binaryFile").load(first).select(
         "path",
         "content",
         F.lit(media_type).cast("string").alias("media_type"),

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sievetable.functions.cells import quoted
 from sievetable.sources.batches import in_frames
 
 RECORD_PATH = r"\A(?:/[^/\s]+)+\z"
@@ -166,7 +168,7 @@ def xml_records(documents: DataFrame) -> DataFrame:
 def record_columns(records: DataFrame, names: list[str]) -> DataFrame:
     """Chosen fields as text columns: one value as is, repeats as a JSON list."""
 
-    def shown(name: str):  # noqa: ANN202
+    def shown(name: str) -> Column:
         values = F.col("fields")[name]
         return F.when(F.size(values) > 1, F.to_json(values)).otherwise(values[0]).alias(name)
 
@@ -186,7 +188,7 @@ def choices(paths: DataFrame) -> DataFrame:
     return totals.withColumn("rank", rank).select("document", "path", "occurrences", "rank")
 
 
-def read_xml(spark, path: str, row_tag: str):  # noqa: ANN001, ANN201
+def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     """Elements named ``row_tag`` as flat text columns, with Spark's XML reader.
 
     Attributes get ``@``; a nested leaf ``b`` of ``a`` becomes ``a/b``. Use
@@ -199,19 +201,17 @@ def read_xml(spark, path: str, row_tag: str):  # noqa: ANN001, ANN201
 
 def flatten_structs(table: DataFrame) -> DataFrame:
     """Struct columns opened into ``a/b`` columns; the text of ``a`` keeps its name."""
-    from pyspark.sql import types as T
-
-    from sievetable.functions.cells import quoted
-
     picked = []
 
-    def visit(data_type: T.DataType, reference: str, name: str) -> None:
-        if isinstance(data_type, T.StructType):
-            for f in data_type.fields:
-                inner = name if f.name == "_VALUE" else f"{name}/{f.name}" if name else f.name
-                visit(f.dataType, f"{reference}.{quoted(f.name)}" if reference else quoted(f.name), inner)
-        else:
-            picked.append(F.col(reference).alias(name))
-
-    visit(table.schema, "", "")
+    def visit(data_type: T.DataType, column: str, name: str) -> None:
+        if not isinstance(data_type, T.StructType):
+            picked.append(F.col(column).alias(name))
+            return
+        for f in data_type.fields:
+            steps = [name, "" if f.name == "_VALUE" else f.name]
+            inner = "/".join(s for s in steps if s)
+            visit(f.dataType, f"{column}.{quoted(f.name)}", inner)
+
+    for f in table.schema:
+        visit(f.dataType, quoted(f.name), f.name)
     return table.select(*picked)
