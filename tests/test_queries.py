@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -54,4 +55,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.ORACLE) == set(registry.QUERIES)
