@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, licenses
+from sievetable.llm import bpe, decontaminate, licenses, rules
 from sievetable.llm.shared import table
 
 
@@ -19,6 +19,94 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns(joined)
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP4_SQL = """
+WITH lowered AS (
+    SELECT doc_id, text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), docs AS (
+    SELECT doc_id, text, list_filter(string_split_regex(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM lowered
+), items AS (
+    SELECT item_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS v
+    FROM (SELECT *, least(len(w), 13) AS m FROM items WHERE len(w) > 0) t, unnest(range(1, len(w) - m + 2)) u(i)
+), sizes AS (SELECT DISTINCT m FROM windows
+), places AS (
+    SELECT doc_id, text, m, i, array_to_string(w[i:i + m - 1], ' ') AS v
+    FROM docs, sizes, unnest(range(1, len(w) - m + 2)) u(i)
+), hits AS (SELECT doc_id, text, item_id, p.m, i FROM places p JOIN windows USING (m, v)
+), covered AS (
+    SELECT doc_id, text, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, m)) u(j) GROUP BY ALL
+), listed AS (
+    SELECT doc_id, text, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
+    FROM (SELECT DISTINCT doc_id, text, item_id::VARCHAR AS s FROM hits) t GROUP BY ALL
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(joined, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id, text) LEFT JOIN listed USING (doc_id, text)
+"""
+
+
+def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base figures and line frequency verdicts of all documents."""
+    judged = rules.judge(table(spark, folder, "documents"))
+    return judged.drop("host", "text_hash", "removed")
+
+
+OP6_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+            lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM documents
+), grams AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 2], ' ')) AS n
+    FROM docs, unnest(range(1, len(w) - 1)) u(i)
+), repeated AS (
+    SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM grams, unnest([0, 1, 2]) u(j) WHERE n > 1 GROUP BY r
+), normal AS (
+    SELECT r, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'),
+            '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line,
+        len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n
+    FROM docs, unnest(lines) u(line)
+), hosts AS (SELECT host, count(DISTINCT t) AS n_texts FROM docs GROUP BY host
+), common AS (
+    SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM normal GROUP BY ALL) c JOIN hosts USING (host)
+    WHERE n >= 20 AND n > 0.2 * n_texts
+), removed AS (SELECT r, sum(n) AS n_removed FROM normal JOIN common USING (host, line) GROUP BY r
+), figures AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0)::BIGINT AS n_removed_words
+    FROM docs LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+        AND n_words - n_removed_words >= 50 AND 2 * n_removed_words <= n_words AS kept
+FROM figures
+"""
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,7 +121,9 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_line_rules": op6_line_rules,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_rules": OP6_SQL}
