@@ -8,10 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, decontaminate, licenses, rules
+from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, rules
 from sievetable.llm.shared import table
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that spells control strings, read back from the packed streams."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], given.schema)
+    turns = chat.gathered(given.unionAll(more))
+    found = chat.read_back(chat.pack_conversations(turns))
+    return turns.select("conv_id", "path").join(found, "path").drop("path")
+
+
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    found = minhash.near_duplicates(table(spark, folder, "documents"), size=3, similarity_pct=85)
+    return found.drop("text_hash")
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and template spans of all documents."""
     found = licenses.scan_licenses(table(spark, folder, "documents"))
@@ -120,6 +136,8 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_minhash": op2_minhash,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op6_line_rules": op6_line_rules,
