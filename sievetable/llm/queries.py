@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, rules
+from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, rules, suffixes
 from sievetable.llm.shared import table
 
 
@@ -135,6 +135,19 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents without repeated strings of 400 bytes."""
+    done = suffixes.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_minhash": op2_minhash,
@@ -142,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_line_rules": op6_line_rules,
     "op9_bpe": op9_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_rules": OP6_SQL}
