@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, rules, suffixes
+from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, private, rules, suffixes
 from sievetable.llm.shared import table
 
 
@@ -81,6 +81,27 @@ FROM docs LEFT JOIN covered USING (doc_id, text) LEFT JOIN listed USING (doc_id,
 """
 
 
+def op5_private(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = private.find_private(table(spark, folder, "documents"))
+
+    def joined(spans: str) -> Column:
+        parts = F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        )
+        return F.array_join(parts, ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[counted(kind) for kind in private.KINDS],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures and line frequency verdicts of all documents."""
     judged = rules.judge(table(spark, folder, "documents"))
@@ -153,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op5_private": op5_private,
     "op6_line_rules": op6_line_rules,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
