@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, private, rules, suffixes
+from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, private, rules, suffixes, toxicity
 from sievetable.llm.shared import table
 
 
@@ -144,6 +144,12 @@ FROM figures
 """
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents from their nearest labelled examples."""
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -176,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_private": op5_private,
     "op6_line_rules": op6_line_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
