@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, private, rules, suffixes, toxicity
+from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, pages, private, rules, suffixes, toxicity
 from sievetable.llm.shared import table
 
 
@@ -144,6 +144,12 @@ FROM figures
 """
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    found = pages.extract_text(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents from their nearest labelled examples."""
     scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -182,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_private": op5_private,
     "op6_line_rules": op6_line_rules,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
