@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,6 +182,11 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline; binary ids are left out, their digest stays."""
+    return corpus_pipeline.run(spark, folder).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_minhash": op2_minhash,
@@ -192,6 +198,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_rules": OP6_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
