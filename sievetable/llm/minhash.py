@@ -6,16 +6,18 @@ the low bits of the first ``KEPT`` minima are packed into a signature, from whic
 similarity of a candidate pair is estimated by counting bits and correcting for chance
 collisions. What passes is confirmed on the full sets.
 
-No bucket is expanded into all its pairs. A class is first compared with the
-representatives of its buckets and linked with one that is confirmed. Buckets whose
-classes are all in one component by then are done; in the others, signatures of
-classes in different components are compared in cells of bounded size, and the pairs
-that pass are confirmed. Nothing is dropped or capped: a pair shares no band with
-probability (1 - s^ROWS)^BANDS, below 3e-7 at similarity 0.85, and is lost by the
-estimate with about 3e-5 where it is the only link.
+No bucket is expanded into all its pairs. A class is first compared with two
+representatives of each of its buckets, and the nearest of them by the estimate are
+confirmed. Buckets whose classes are all in one component by then are done. The others
+are compared in cells of bounded size, which hold the sets too and return only the
+links that join components; a pair is looked at in the first of its common buckets.
+Nothing is dropped or capped: a pair shares no band with probability
+(1 - s^ROWS)^BANDS, below 3e-7 at similarity 0.85, and is lost by the estimate with
+about 3e-5 where it is the only link.
 
 Null and empty texts have no shingles, no class and no links. Repeated rows have equal
-results. A null id never becomes a component's id if the component has another one.
+results. A null id becomes a component's id only if the component has no other, and its
+rows are kept then.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SEED = 20240607
 #: Four standard deviations of the estimate below the wanted similarity still pass.
 DEVIATIONS = 4
 CELL = 1024
+#: So many of a class's nearest representatives are confirmed at first.
+FIRST_TRIES = 3
 CACHED_WORDS = 200_000
 
 _PARAMETERS = np.random.default_rng(SEED)
@@ -149,21 +153,25 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(set, shingles) of the wanted classes, from the text of their first document."""
+    """(set, shingles, short) of the wanted classes, from the text of their first document.
+
+    ``short`` are the sorted upper halves of the hashes, as 32-bit integers.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [shingles(text, size) for text in frame["text"]]
-            same = [set_key(x) == key for x, key in zip(found, frame["set"])]
+            same = [(k, x) for x, k in zip(found, frame["set"]) if set_key(x) == k]
             yield pd.DataFrame({
-                "set": [k for k, ok in zip(frame["set"], same) if ok],
-                "shingles": [x.view(np.int64) for x, ok in zip(found, same) if ok],
+                "set": [k for k, _ in same],
+                "shingles": [x.view(np.int64) for _, x in same],
+                "short": [(x >> np.uint64(32)).astype(np.uint32).tobytes() for _, x in same],
             })
 
     ids = wanted.select(F.col("first").alias("__first"), "set")
     text = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = text.join(ids, F.col("__id").eqNullSafe(F.col("__first"))).select("set", "text")
-    return rows.mapInPandas(run, "set binary, shingles array<bigint>").dropDuplicates(["set"])
+    return rows.mapInPandas(run, "set binary, shingles array<bigint>, short binary").dropDuplicates(["set"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFrame:
@@ -176,50 +184,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFra
     return both.where(100 * common >= similarity_pct * union).select("a", "b")
 
 
-def compare_cells(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components in the same cell whose signatures agree enough.
-
-    ``rows`` are (key, lo, hi, block, set, root, bits), sorted by cell within tasks.
-    """
-    most = KEPT - least_equal(similarity)
+def joining_links(cell: pd.DataFrame, most: int, similarity_pct: int) -> list[tuple[bytes, bytes]]:
+    """Links within a cell that join different components, the likeliest pairs first."""
     ones = np.uint64(0x1111111111111111)
+    bits = np.stack(cell["bits"].to_list()).view(np.uint64)
+    bands = np.stack(cell["bands"].to_list())
+    root = pd.factorize(cell["root"])[0]
+    block = cell["block"].to_numpy()
+    band, split = int(cell["band"].iloc[0]), cell["lo"].iloc[0] != cell["hi"].iloc[0]
+    left, right, apart = [], [], []
+    for at in range(len(cell) - 1):
+        rest = np.arange(at + 1, len(cell))
+        rest = rest[root[rest] != root[at]]
+        if split:
+            rest = rest[block[rest] != block[at]]
+        if band and len(rest):
+            rest = rest[~(bands[rest, :band] == bands[at, :band]).any(axis=1)]
+        if not len(rest):
+            continue
+        d = bits[rest] ^ bits[at]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        differing_groups = np.bitwise_count(d & ones).sum(axis=1)
+        near = differing_groups <= most
+        left.append(np.full(int(near.sum()), at))
+        right.append(rest[near])
+        apart.append(differing_groups[near])
+    if not left:
+        return []
+    left, right, apart = map(np.concatenate, (left, right, apart))
+    parent = list(range(int(root.max()) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    names = cell["set"].to_list()
+    sets = [np.frombuffer(x, np.uint32) for x in cell["short"]]
+    found = []
+    for i in np.argsort(apart, kind="stable"):
+        a, b = int(left[i]), int(right[i])
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x == y:
+            continue
+        small, large = sorted((sets[a], sets[b]), key=len)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        common = int((large[at] == small).sum())
+        if 100 * common >= similarity_pct * (len(small) + len(large) - common):
+            parent[x] = y
+            found.append((max(names[a], names[b]), min(names[a], names[b])))
+    return found
 
-    def pairs(cell: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        bits = np.stack(cell["bits"].to_list()).view(np.uint64)
-        root = pd.factorize(cell["root"])[0]
-        block = cell["block"].to_numpy()
-        names = cell["set"].to_list()
-        split = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-        found = []
-        for at in range(len(cell) - 1):
-            rest = slice(at + 1, None)
-            different = root[rest] != root[at]
-            if split:
-                different &= block[rest] != block[at]
-            if not different.any():
-                continue
-            d = bits[rest][different] ^ bits[at]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            near = np.bitwise_count(d & ones).sum(axis=1) <= most
-            for other in np.flatnonzero(different)[near]:
-                a, b = names[at], names[at + 1 + other]
-                found.append((max(a, b), min(a, b)))
-        return found
+
+def compare_cells(rows: DataFrame, most: int, similarity_pct: int) -> DataFrame:
+    """(a, b): links between components, cell by cell.
+
+    ``rows`` are (key, band, lo, hi, block, set, root, bits, bands, short), sorted by cell
+    within tasks. The upper halves of the hashes may meet by chance, so a link is
+    confirmed on the whole hashes afterwards.
+    """
+    names = ["key", "lo", "hi"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            frame = pd.concat([held, frame], ignore_index=True) if held is not None else frame
-            starts = (frame[["key", "lo", "hi"]] != frame[["key", "lo", "hi"]].shift()).any(axis=1)
-            edges = [*np.flatnonzero(starts), len(frame)]
-            found = []
-            for start, end in zip(edges[:-2], edges[1:-1]):
-                found += pairs(frame.iloc[start:end])
-            held = frame.iloc[edges[-2] :] if len(frame) else None
+            starts = np.flatnonzero((frame[names] != frame[names].shift()).any(axis=1).to_numpy())
+            continued = bool(held) and (frame[names].iloc[0] == held[-1][names].iloc[-1]).all()
+            edges = [0, *starts[int(continued) :], len(frame)]
+            found: list[tuple[bytes, bytes]] = []
+            for number, (start, end) in enumerate(zip(edges, edges[1:])):
+                if held and (number or not continued):
+                    found += joining_links(pd.concat(held, ignore_index=True), most, similarity_pct)
+                    held = []
+                if end > start:
+                    held.append(frame.iloc[start:end])
             yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-        if held is not None:
-            yield pd.DataFrame(sorted(set(pairs(held))), columns=["a", "b"])
+        if held:
+            last = joining_links(pd.concat(held, ignore_index=True), most, similarity_pct)
+            yield pd.DataFrame(last, columns=["a", "b"])
 
     return rows.mapInPandas(run, "a binary, b binary").distinct()
 
@@ -237,8 +281,7 @@ def near_duplicates(
     ``similarity_pct`` percent or more are linked; the component's id is its smallest
     document id.
     """
-    similarity = similarity_pct / 100
-    most = KEPT - least_equal(similarity)
+    most = KEPT - least_equal(similarity_pct / 100)
     rows = written(sketch(docs, id_col, text_col, size), "sketches")
     classes = (
         rows.where("set IS NOT NULL")
@@ -246,23 +289,27 @@ def near_duplicates(
         .agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
     classes = written(classes, "classes")
-    members = classes.select("set", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("set").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    # shared buckets only: (key, set, rep, n)
-    shared = written(members.join(buckets, "key"), "buckets")
+    members = classes.select("set", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("key").agg(
+        F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("n")
+    )
+    # shared buckets only: (key, set, band, low, high, n)
+    shared = written(members.join(buckets.where("n > 1"), "key"), "buckets")
     bits = classes.select("set", "bits")
     wanted = classes.join(shared.select("set").distinct(), "set", "left_semi").select("set", "first")
     sets = written(full_sets(docs, wanted, id_col, text_col, size), "sets")
 
-    pairs = shared.where(F.col("set") != F.col("rep")).select("set", "rep").distinct()
+    pairs = shared.select("set", F.explode(F.array("low", "high")).alias("rep")).where("set != rep").distinct()
     estimated = (
         pairs.join(bits, "set")
         .join(bits.select(F.col("set").alias("rep"), F.col("bits").alias("rep_bits")), "rep")
         .withColumn("differing", differing(F.col("bits"), F.col("rep_bits")))
         .where(F.col("differing") <= most)
     )
-    chosen = estimated.groupBy("set").agg(F.min(F.struct("differing", "rep")).alias("best"))
-    links = confirmed(chosen.select(F.col("set").alias("a"), F.col("best.rep").alias("b")), sets, similarity_pct)
+    # at most two representatives for each band
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct("differing", "rep"))), 1, FIRST_TRIES)
+    chosen = estimated.groupBy("set").agg(nearest.alias("best")).select(F.col("set").alias("a"), F.explode("best").alias("x"))
+    links = confirmed(chosen.select("a", F.col("x.rep").alias("b")), sets, similarity_pct)
     first = written(components(written(links, "links")), "components")
 
     labelled = shared.join(first.withColumnRenamed("node", "set"), "set", "left").withColumn(
@@ -278,14 +325,15 @@ def near_duplicates(
     block = F.pmod(F.xxhash64("set"), blocks).cast("int")
     cells = (
         labelled.join(open_keys, "key", "left_semi")
-        .join(bits, "set")
-        .select("key", "set", "root", "bits", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+        .select("key", "band", "set", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
         .withColumn("lo", F.least("block", "with"))
         .withColumn("hi", F.greatest("block", "with"))
+        .join(classes.select("set", "bits", "bands"), "set")
+        .join(sets.select("set", "short"), "set")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
     )
-    rest = confirmed(compare_cells(cells, similarity), sets, similarity_pct)
+    rest = confirmed(compare_cells(cells, most, similarity_pct), sets, similarity_pct)
     roots = first.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     lifted = (
         rest.join(roots, F.col("a") == F.col("__node"), "left")
@@ -312,7 +360,7 @@ def near_duplicates(
         "text_hash",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
 
 
@@ -321,5 +369,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     kept = near_duplicates(docs, id_col, text_col, size, similarity_pct).where("kept")
     keys = kept.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__text", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    joined = hashed.join(keys, (hashed[id_col] == F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    joined = hashed.join(keys, hashed[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
     return joined.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
