@@ -347,16 +347,19 @@ def tabular_choice(datasets: DataFrame, resources: DataFrame) -> DataFrame:
     )
 
 
-def parent_datasets(orphans: DataFrame, resources: DataFrame) -> DataFrame:
+def parent_datasets(orphans: DataFrame, resources: DataFrame, **options: int) -> DataFrame:
     """Parent of resources that do not name one: same URL and same id.
 
     ``resources`` is reduced to one parent per (url, id) first.
     """
     known = resources.groupBy("url", "id").agg(F.min("dataset_id").alias("dataset_id"))
-    return salted_join(orphans, known, ["url", "id"], how="left", spread_by=orphans.columns)
+    # Equal rows of a hot key have nothing else that could spread them.
+    placed = orphans.withColumn("_place", F.monotonically_increasing_id())
+    return salted_join(placed, known, ["url", "id"], how="left", spread_by=["_place"], **options).drop("_place")
 
 
 def dataset_resources(datasets: DataFrame, resources: DataFrame) -> DataFrame:
     """Each dataset with each of its resources; spread when one dataset has most."""
     sized = datasets.select(F.col("id").alias("dataset_id"), F.col("title").alias("dataset_title"), F.col("resource_count"))
-    return salted_join(resources, sized, ["dataset_id"], "resource_count", spread_by=["id"])
+    # Weighed by rows: the declared number of resources may be wrong.
+    return salted_join(resources, sized, ["dataset_id"], spread_by=["id"])

@@ -19,13 +19,14 @@ def infer_schema(
     df: DataFrame,
     order_by: Sequence[Column | str],
     *,
-    sample_rows: int | None = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     code_columns: Sequence[str] = (),
 ) -> DataFrame:
     """One row per column: name, type, nullable, first distinct values, rows seen.
 
-    ``sample_rows=None`` reads the whole table. A sample that leaves rows out
-    makes every column nullable, since the rest may hold nulls.
+    The whole table is read unless ``sample_rows`` asks for the first rows only
+    (``SAMPLE_ROWS`` for a preview). A sample that leaves rows out makes every
+    column nullable, since the rest may hold nulls.
     """
     order = [F.col(cells.quoted(c)) if isinstance(c, str) else c for c in order_by]
     if sample_rows is None:

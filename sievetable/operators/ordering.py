@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 MAX_RANGES = 4096
 ROWS_PER_RANGE = 50_000
 _SAMPLES_PER_RANGE = 16
+EDGE_CHARACTERS = 64
 
 
 def range_count(df: DataFrame, rows: int) -> int:
@@ -30,8 +31,11 @@ def sampled_edges(df: DataFrame, key: Column, ranges: int | None = None) -> list
     """Range edges from about 16 sampled rows per range.
 
     The key is computed for sampled rows only. The driver receives a number of
-    rows set by the number of ranges, whatever the size of the table.
+    rows set by the number of ranges, whatever the size of the table, and of
+    texts their first characters: an edge need not be the key of a row.
     """
+    key_type = df.select(key.alias("k")).schema["k"].dataType
+    key = F.struct(*[_edge_part(key[f.name], f.dataType).alias(f.name) for f in key_type.fields])
     total = df.count()
     ranges = ranges or range_count(df, total)
     if ranges == 1:
@@ -45,6 +49,12 @@ def sampled_edges(df: DataFrame, key: Column, ranges: int | None = None) -> list
     return [found[i * len(found) // ranges] for i in range(1, ranges)]
 
 
+def _edge_part(value: Column, data_type: T.DataType) -> Column:
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        return F.substring(value, 1, EDGE_CHARACTERS)
+    return value
+
+
 def _key(order: Sequence[Column]) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
 

@@ -230,6 +230,20 @@ def row_groups(
     return placed.withColumn("first_row", F.col("first_row") + FIRST_DATA_ROW).drop(*names)
 
 
+def own_order(df: DataFrame) -> list[str | Column]:
+    """An order by all columns; by the row's fingerprint where a value has no order."""
+
+    def ordered(data_type: T.DataType) -> bool:
+        if isinstance(data_type, T.StructType):
+            return all(ordered(f.dataType) for f in data_type)
+        if isinstance(data_type, T.ArrayType):
+            return ordered(data_type.elementType)
+        return not isinstance(data_type, (T.MapType, T.VariantType))
+
+    simple = [f.name for f in df.schema if ordered(f.dataType)]
+    return simple if len(simple) == len(df.columns) else [*simple, fingerprint(df)]
+
+
 def row_positions(
     df: DataFrame, position: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -341,7 +355,7 @@ def duplicate_rows(
 ) -> DataFrame:
     """One row per group of equal rows: first row, second row, copies."""
     if position is None:
-        return _duplicate_groups(row_groups(df, order_by or df.columns, columns))
+        return _duplicate_groups(row_groups(df, order_by or own_order(df), columns))
     return _duplicate_groups_by_position(row_positions(df, position, columns))
 
 
@@ -404,7 +418,7 @@ def validate(
         elif not per_cell:
             entries = _group_only(entries, cells_only=True)
     else:
-        entries = _entries_of_groups(row_groups(df, order_by or df.columns, columns))
+        entries = _entries_of_groups(row_groups(df, order_by or own_order(df), columns))
         if not per_cell and not per_duplicate:
             entries = _grouped_entries(entries)
         else:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+LEAST_HOT_WEIGHT = 100_000
 
 
 def salted_join(
@@ -17,15 +17,15 @@ def salted_join(
     weight: str | None = None,
     *,
     how: str = "inner",
-    salts: int = 64,
-    hot_weight: int = 100_000,
+    hot_weight: int = LEAST_HOT_WEIGHT,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join where ``small`` has one row per key and ``large`` may be very uneven.
 
-    The heaviest keys (at most 1000, so their broadcast is bounded) are spread
-    over ``salts`` partitions; every other key takes the ordinary shuffle. All
-    rows keep their match: the limit only picks which keys are spread. The
+    A key is hot when it weighs more than a task's even share of all rows (and
+    ``hot_weight`` at least), so there are fewer hot keys than shuffle partitions
+    and their broadcast is bounded by that. A hot key is spread over as many
+    salts as it holds shares; every other key takes the ordinary shuffle. The
     weight of a key is a column of ``small``, or its count in ``large``.
     """
     keys = list(on)
@@ -33,19 +33,21 @@ def salted_join(
         weighed, weight = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight")), "_weight"
     else:
         weighed = small
-    hot = (
-        weighed.filter(F.col(weight) >= hot_weight)
-        .orderBy(F.col(weight).desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
+    partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = weighed.agg(F.sum(weight).cast("double").alias("total")).scalar()
+    share = F.greatest(F.lit(float(hot_weight)), total / partitions)
+    heavy = weighed.select(*keys, F.col(weight).alias("_weight"), share.alias("_share"))
+    hot = heavy.filter(F.col("_weight") >= F.col("_share")).select(
+        *keys, F.ceil(F.col("_weight") / F.col("_share")).cast("bigint").alias("_salts")
     )
     spread = [F.col(c) for c in (spread_by or [c for c in large.columns if c not in keys])]
-    slot = F.pmod(F.xxhash64(*spread), F.lit(salts))
-    salt = F.coalesce(F.when(F.col("_hot"), slot), F.lit(-1))
+    slot = F.pmod(F.xxhash64(*spread), F.col("_salts"))
+    salt = F.coalesce(F.when(F.col("_salts").isNotNull(), slot), F.lit(-1))
     left = large.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("bigint"))
+    none = F.lit(-1).cast("bigint")
     copies = F.when(
-        F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    ).otherwise(F.array(F.lit(-1).cast("bigint")))
+        F.col("_salts").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)
+    ).otherwise(F.array(none))
     right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
-    joined = left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how)
+    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")

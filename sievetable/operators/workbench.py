@@ -65,9 +65,9 @@ def missing_periods(df: DataFrame, ordinal: Column, by: Sequence[str] = ()) -> D
 
 
 def histogram(df: DataFrame, value: str, low: float, width: float, bins: int) -> DataFrame:
-    """Counts per equal-width bin; the last bin takes values past its edge."""
-    bin_of = F.least(F.lit(bins), F.floor((F.col(value) - low) / width) + 1)
-    binned = df.filter(F.col(value) >= low).select(bin_of.cast("int").alias("bin"))
+    """Counts per equal-width bin; bin 0 takes values below ``low``, the last one those past its edge."""
+    bin_of = F.greatest(F.lit(0), F.least(F.lit(bins), F.floor((F.col(value) - low) / width) + 1))
+    binned = df.filter(F.col(value).isNotNull()).select(bin_of.cast("int").alias("bin"))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -34,9 +34,9 @@ _STATEMENT_CONF = {
 
 @dataclass(frozen=True)
 class QueryLimits:
-    """Limits of one statement."""
+    """Limits of one statement; ``rows=None`` sets no bound on a lazy result."""
 
-    rows: int = 1_000
+    rows: int | None = 1_000
     timeout_seconds: int = 30
     sql_bytes: int = 64 * 1024
     columns: int = 256
@@ -46,6 +46,8 @@ class QueryLimits:
     def __post_init__(self) -> None:
         for f in fields(self):
             value = getattr(self, f.name)
+            if f.name == "rows" and value is None:
+                continue
             whole = isinstance(value, int) and not isinstance(value, bool)
             if not whole or not 0 < value <= MAXIMA[f.name]:
                 raise DataError(
@@ -66,9 +68,18 @@ class QueryResult:
     sql: str
 
 
+#: The view and the settings belong to the session, so one statement is analysed at a time.
+_SCOPE = threading.RLock()
+
+
 @contextmanager
 def _statement_scope(spark: SparkSession, table: DataFrame) -> Iterator[None]:
     """The table as view ``data`` and the reading rules; both restored after."""
+    with _SCOPE:
+        yield from _named_table(spark, table)
+
+
+def _named_table(spark: SparkSession, table: DataFrame) -> Iterator[None]:
     before = {key: spark.conf.get(key, None) for key in _STATEMENT_CONF}
     existing = None
     if spark.catalog._jcatalog.tableExists(TABLE_NAME):
@@ -92,7 +103,7 @@ def _statement_scope(spark: SparkSession, table: DataFrame) -> Iterator[None]:
 def select(table: DataFrame, sql: str, limits: QueryLimits | None = None) -> DataFrame:
     """The checked statement as a lazy frame of at most ``rows`` + 1 rows.
 
-    The scan behind ``data`` keeps column pruning and filter pushdown.
+    A row beyond ``rows`` tells that the result was cut. The scan behind ``data`` keeps column pruning and filter pushdown.
     """
     limits = limits or QueryLimits()
     spark = table.sparkSession
@@ -103,12 +114,14 @@ def select(table: DataFrame, sql: str, limits: QueryLimits | None = None) -> Dat
         raise DataError(
             "QUERY_COLUMN_LIMIT", f"Query returns more than {limits.columns} columns."
         )
-    return result.limit(limits.rows + 1)
+    return result if limits.rows is None else result.limit(limits.rows + 1)
 
 
 def run(table: DataFrame, sql: str, limits: QueryLimits | None = None) -> QueryResult:
     """Run the statement under its time, row, cell and output limits."""
     limits = limits or QueryLimits()
+    if limits.rows is None:
+        raise DataError("QUERY_LIMIT_INVALID", "Collected rows need a bound.", limit="rows", value=None)
     frame = select(table, sql, limits)
     spark = table.sparkSession
     names = [f"c{i}" for i in range(len(frame.columns))]
@@ -166,11 +179,16 @@ def _deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
         raise DataError("QUERY_TIMEOUT", f"The query took more than {seconds} s.")
 
 
-def export(table: DataFrame, sql: str, path: str, target: str, **options: object) -> None:
-    """Write the capped rows of a statement as csv, tsv, json or ndjson."""
+def export(table: DataFrame, sql: str, path: str, target: str, **options: object) -> bool:
+    """Write a statement's rows as csv, tsv, json or ndjson; whether rows were left out."""
     from sievetable.operators.export import write_table
 
     if target not in ("csv", "tsv", "json", "ndjson"):
         raise DataError("QUERY_OUTPUT_FORMAT", "Query output is csv, tsv, json or ndjson.")
     limits = options.pop("limits", None) or QueryLimits()
-    write_table(select(table, sql, limits).limit(limits.rows), path, target, **options)
+    frame = select(table, sql, limits)
+    if limits.rows is None:
+        write_table(frame, path, target, **options)
+        return False
+    write_table(frame.limit(limits.rows), path, target, **options)
+    return not frame.offset(limits.rows).isEmpty()

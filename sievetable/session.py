@@ -27,14 +27,15 @@ def build_session(app_name: str = "sievetable", **conf: str) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting falls back to a new temporary
-    folder; a cluster session without it is an error, because a folder that
-    one machine sees does not survive the loss of that machine.
+    Only a session in one process without the setting gets a new folder for
+    itself; a cluster session without it is an error, because a folder that one
+    machine sees does not survive the loss of that machine.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder")
     path = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set(CHECKPOINT_CONF, path)

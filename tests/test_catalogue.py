@@ -219,9 +219,16 @@ def test_salted_join_is_whole_with_a_hot_key(spark):
     key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50)
     large = spark.range(9000).select(key.alias("k"), "id")
     small = large.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = skew.salted_join(large, small, ["k"], "n", hot_weight=1000, salts=8)
+    joined = skew.salted_join(large, small, ["k"], "n", hot_weight=1000)
     expected = large.join(small, "k")
     assert joined.count() == expected.count() == 9000
+    spread = skew.salted_join(large, small, ["k"], "n", hot_weight=10, spread_by=["id"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hot = spread.filter("k = -1").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert hot > 1
     assert joined.select("k", "id", "n").exceptAll(expected.select("k", "id", "n")).count() == 0
 
 

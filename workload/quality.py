@@ -282,7 +282,9 @@ SELECT name, {_MERGED} AS type, true AS nullable, evidence, rows AS sampled_rows
 FROM stats JOIN ev ON field = name""",
 )
 def infer_schema_sample(spark, sf_dir):
-    found = inference.infer_schema(orders_dirty(spark, sf_dir), _order())
+    found = inference.infer_schema(
+        orders_dirty(spark, sf_dir), _order(), sample_rows=inference.SAMPLE_ROWS
+    )
     return found.select(
         "name", "type", "nullable", F.array_join("evidence", "|").alias("evidence"), "sampled_rows"
     )

@@ -56,8 +56,8 @@ def json_lines(spark, sf_dir):
     return export.json_lines(customers.select("c_custkey", "c_name", F.lit(None).cast("string").alias("gap")))
 
 
-# Bounded SQL: one statement over ``data``, capped at a million rows.
-_WIDE = bounded.QueryLimits(rows=1_000_000)
+# SQL: one checked statement over ``data``, with its whole result.
+_WIDE = bounded.QueryLimits(rows=None)
 
 SQL_CTE = """
 WITH monthly AS (
@@ -314,11 +314,12 @@ def wb_missing_periods(spark, sf_dir):
 
 @query(
     "wb_histogram",
-    """SELECT CAST(least(20, floor((l_extendedprice - 0) / 5000) + 1) AS INTEGER) AS bin, count(*) AS rows
- FROM lineitem WHERE l_extendedprice >= 0 GROUP BY 1""",
+    """SELECT CAST(greatest(0, least(20, floor((l_extendedprice - 20000) / 5000) + 1)) AS INTEGER) AS bin, count(*) AS rows
+ FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1""",
 )
 def wb_histogram(spark, sf_dir):
-    return workbench.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0, 5000, 20)
+    """Values below the range go to bin 0."""
+    return workbench.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20_000, 5000, 20)
 
 
 @query(
@@ -436,6 +437,23 @@ def present_geometry(spark, sf_dir):
     return points.select("c_custkey", valid.alias("valid"))
 
 
+@query(
+    "present_geometry_nested",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN false ELSE c_acctbal BETWEEN -180 AND 180 END AS valid FROM customer""",
+)
+def present_geometry_nested(spark, sf_dir):
+    """Points inside collections that nest one, four and nine deep; a fourth have a broken member."""
+    x, y, kind = F.col("x").cast("string"), F.col("y").cast("string"), F.col("c_custkey") % 4
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit("]}"))
+    member = F.when(kind == 3, F.lit('{"type":"Point","coordinates":["1",2]}')).otherwise(point)
+    depth = F.when(kind == 0, 1).when(kind == 1, 4).otherwise(9)
+    start = F.repeat(F.lit('{"type":"GeometryCollection","geometries":['), depth)
+    nested = F.concat(start, member, F.repeat(F.lit("]}"), depth))
+    return features(spark, sf_dir).select(
+        "c_custkey", geo.valid_geometry(nested, "EPSG:4326").alias("valid")
+    )
+
+
 @query(
     "present_filter",
     """SELECT count(*) FILTER (lower(p_name) LIKE '%red%' AND lower(p_type) LIKE '%eco%') AS matching,
