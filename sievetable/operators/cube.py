@@ -218,6 +218,12 @@ def invalid_cells(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("value").isNull() & F.col("value__symbol").isNull())
 
 
+def invalid_tokens(chunks: DataFrame) -> DataFrame:
+    """(cube, token) of the cells that are neither a finite number nor a known symbol."""
+    tokens = chunks.select("cube", F.explode("cells").alias("token"))
+    return tokens.filter(cell_value(F.col("token")).isNull() & cell_symbol(F.col("token")).isNull())
+
+
 def require_complete(chunks: DataFrame, dimensions: DataFrame) -> None:
     """Raise when a cube's cells do not fill its dimensions."""
     wrong = cell_counts(chunks, dimensions).filter(~F.col("complete")).limit(1).collect()

@@ -412,11 +412,7 @@ def validate(
     if position is not None:
         columns = [c for c in columns or df.columns if c != position]
         facts = row_positions(df, position, columns)
-        entries = _entries_by_position(facts, per_duplicate)
-        if not per_cell and not per_duplicate:
-            entries = _grouped_entries(entries)
-        elif not per_cell:
-            entries = _group_only(entries, cells_only=True)
+        return validate_facts(facts, df, columns, per_cell=per_cell, per_duplicate=per_duplicate)
     else:
         entries = _entries_of_groups(row_groups(df, order_by or own_order(df), columns))
         if not per_cell and not per_duplicate:
@@ -427,6 +423,29 @@ def validate(
     return shaped.unionByName(column_issues(df, columns))
 
 
+def row_facts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """``fingerprint`` and ``cells`` of a row, from its columns to be checked."""
+    checked = df.select(*[_ref(c) for c in columns])
+    return [fingerprint(checked).alias("fingerprint"), _cell_issues(checked).alias("cells")]
+
+
+def validate_facts(
+    facts: DataFrame,
+    df: DataFrame,
+    columns: Sequence[str],
+    *,
+    per_cell: bool = False,
+    per_duplicate: bool = False,
+) -> DataFrame:
+    """All data issues from numbered row facts, and of the columns from the table."""
+    entries = _entries_by_position(facts, per_duplicate)
+    if not per_cell and not per_duplicate:
+        entries = _grouped_entries(entries)
+    elif not per_cell:
+        entries = _group_only(entries, cells_only=True)
+    return _shape(entries, list(columns)).unionByName(column_issues(df, columns))
+
+
 def _entries_by_position(facts: DataFrame, per_duplicate: bool) -> DataFrame:
     if per_duplicate:
         repeats = _repeats_by_position(facts).select("row", "first_row", F.lit(1).alias("copies"))

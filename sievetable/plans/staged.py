@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievetable.session import checkpoint_dir
+
 STAGING_VERSION = "1"
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to the shared folder and read back, for several uses."""
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 class Staged(NamedTuple):
     """A prepared table and how it was obtained: hit, miss or bypass."""
 

@@ -273,6 +273,21 @@ def metadata_problems(rows: DataFrame) -> DataFrame:
     translated = roles.join(role_base, ["cube", "keyword"], "left").filter(
         ~F.coalesce(F.col("size") == F.col("expected"), F.lit(False))
     )
+    translations = lists.filter(F.col("language").isNotNull() & (F.col("keyword") == "VALUES"))
+    own_lists = translations.groupBy("cube", "language", "subkeys").agg(F.count(F.lit(1)).alias("size"))
+    # A translated list is as long as the default one of the dimension at the same place.
+    place = readable.filter(F.col("keyword").isin("STUB", "HEADING")).select(
+        "cube", "language", "keyword", "position", F.array("value").alias("subkeys")
+    )
+    default_place = place.filter(F.col("language").isNull()).drop("language").withColumnRenamed("subkeys", "default")
+    at = own_lists.join(place, ["cube", "language", "subkeys"]).join(default_place, ["cube", "keyword", "position"])
+    unequal = at.join(
+        values.select("cube", F.col("subkeys").alias("default"), "expected"), ["cube", "default"], "left"
+    ).filter(~F.coalesce(F.col("size") == F.col("expected"), F.lit(False)))
+    # Every dimension of the default language has a list of values, or its periods.
+    axes = default_place.select("cube", F.col("default").alias("subkeys"))
+    listed = default.filter(F.col("keyword") == "VALUES").select("cube", "subkeys")
+    valueless = axes.join(listed, ["cube", "subkeys"], "left_anti")
     names = readable.filter(F.col("keyword").isin("STUB", "HEADING"))
     repeated = names.groupBy("cube", "language", "value").count().filter("count > 1")
     code = F.lit("INVALID_PCAXIS_DATA").alias("code")
@@ -282,6 +297,8 @@ def metadata_problems(rows: DataFrame) -> DataFrame:
         wrong.select("cube", code, F.col("keyword").alias("detail")),
         translated.select("cube", code, F.concat("keyword", F.lit(" translation")).alias("detail")),
         repeated.select("cube", code, F.lit("repeated dimension").alias("detail")),
+        unequal.select("cube", code, F.lit("VALUES translation").alias("detail")),
+        valueless.select("cube", code, F.lit("dimension without VALUES").alias("detail")),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from sievetable.errors import DataError
 from sievetable.functions.cells import quoted
 from sievetable.messages import ISSUE_SCHEMA
-from sievetable.operators.quality import issue, validate
+from sievetable.operators.quality import issue, row_facts, validate_facts
+from sievetable.plans.staged import kept
 from sievetable.sources.headers import plan_header
-from sievetable.sources.positions import number_text_rows
+from sievetable.sources.positions import number_file_rows, pieces_bound
 
 RAW_COLUMN = "_raw"
 NO_NULL = "\x01"
@@ -34,11 +35,26 @@ def _options(delimiter: str, encoding: str, multi_line: bool) -> dict[str, objec
     }
 
 
+def line_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether all lines are valid UTF-8, and whether a quote is left open at a line's end."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    found = spark.read.text(path).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("valid"),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open"),
+    )
+    return tuple(found.first())
+
+
+def spans_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether records may go over line ends, so that files must be read whole."""
+    return encoding.lower().startswith("utf-16") or line_facts(spark, path)[1]
+
+
 def read_header(
-    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", multi_line: bool = False
 ) -> list[str]:
-    """Cells of the first line, exactly as written."""
-    reader = spark.read.options(**_options(delimiter, encoding, False))
+    """Cells of the first record, exactly as written."""
+    reader = spark.read.options(**_options(delimiter, encoding, multi_line))
     first = reader.option("header", False).csv(path).limit(1).collect()
     if not first:
         raise DataError("EMPTY_INPUT", "The delimited file has no header.")
@@ -55,11 +71,16 @@ def read_delimited(
     *,
     encoding: str = "UTF-8",
     relaxed: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Every value as text. A record of another width fails unless ``relaxed``,
-    which fills missing cells with null and drops the overflow."""
-    names = plan_header(read_header(spark, path, delimiter, encoding)).names
+    which fills missing cells with null and drops the overflow.
+
+    Unless ``multi_line`` says so, the lines are looked at first: only files with
+    quoted line breaks are read whole, all others in splits.
+    """
+    multi_line = spans_lines(spark, path, encoding) if multi_line is None else multi_line
+    names = plan_header(read_header(spark, path, delimiter, encoding, multi_line)).names
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = spark.read.options(**_options(delimiter, encoding, multi_line))
     mode = "PERMISSIVE" if relaxed else "FAILFAST"
@@ -74,14 +95,22 @@ def read_delimited(
 
 
 def read_typed(
-    spark: SparkSession, path: str, delimiter: str = ",", *, encoding: str = "UTF-8", text: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    *,
+    encoding: str = "UTF-8",
+    text: Sequence[str] = (),
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Types found over the whole file; an unquoted empty cell is null, ``""`` is not.
 
-    Columns named in ``text`` (codes with leading zeros) stay text.
+    Columns named in ``text`` (codes with leading zeros) stay text. ``multi_line``
+    is found from the lines unless it is given.
     """
+    multi_line = spans_lines(spark, path, encoding) if multi_line is None else multi_line
     reader = (
-        spark.read.options(**_options(delimiter, encoding, False))
+        spark.read.options(**_options(delimiter, encoding, multi_line))
         .option("header", True)
         .option("nullValue", NO_NULL)
         .option("mode", "FAILFAST")
@@ -127,15 +156,24 @@ def header_issues(spark: SparkSession, header: Sequence[str]) -> DataFrame:
 
 
 def validate_delimited(
-    spark: SparkSession, path: str, delimiter: str = ",", *, encoding: str = "UTF-8", multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    *,
+    encoding: str = "UTF-8",
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """All issues of a delimited file: header, widths, then the cells.
 
-    Cell issues are listed one by one, as delimited text has no types.
+    Cell issues are listed one by one, as delimited text has no types. The file
+    is read three times: for its lines, for narrow facts of every record (which
+    are written and then numbered), and for the types of its columns.
     """
-    if encoding.upper() == "UTF-8" and not _valid_utf8(spark, path):
+    valid, left_open = line_facts(spark, path)
+    if encoding.upper() == "UTF-8" and not valid:
         return spark.range(1).select(*issue("INVALID_ENCODING"))
-    header = read_header(spark, path, delimiter, encoding)
+    multi_line = left_open if multi_line is None else multi_line
+    header = read_header(spark, path, delimiter, encoding, multi_line)
     names = plan_header(header).names
     fields = [T.StructField(n, T.StringType()) for n in [*names, RAW_COLUMN]]
     rows = (
@@ -149,13 +187,19 @@ def validate_delimited(
         .schema(T.StructType(fields))
         .csv(path)
     )
-    numbered = number_text_rows(rows)
-    # The reader gives the raw record only next to a data column; an empty piece
-    # of the first column keeps it in the scan.
-    nothing = F.coalesce(F.substring(F.col(quoted(names[0])), 1, 0), F.lit(""))
-    raw = F.concat(F.col(RAW_COLUMN), nothing)
-    width = record_width(raw, delimiter)
-    ragged = numbered.filter(raw.isNotNull()).select("row", width.alias("width"))
+    raw = F.col(RAW_COLUMN)
+    facts = rows.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+        F.when(raw.isNotNull(), record_width(raw, delimiter)).alias("width"),
+        *row_facts(rows, names),
+    )
+    stored = kept(facts, "records")
+    numbered = number_file_rows(
+        stored, [F.col("file"), F.col("split")], F.col("place"), pieces=pieces_bound(rows, splits=True)
+    ).drop("file", "split", "place")
+    ragged = numbered.filter(F.col("width").isNotNull()).select("row", "width")
     uneven = ragged.filter(F.col("width") != len(names))
     widths = uneven.select(
         *issue(
@@ -170,16 +214,13 @@ def validate_delimited(
             ),
         )
     )
-    # Widths name no field, so they share one issue with a count.
-    widths = _first_with_count(widths)
-    malformed = ragged.filter(F.col("width") == len(names)).limit(1).select(
+    malformed = ragged.filter(F.col("width") == len(names)).select(
         *issue("MALFORMED_DELIMITED_DATA", row=F.col("row"))
     )
-    table = numbered.drop(RAW_COLUMN)
-    cells = validate(table, position="row", columns=names, per_cell=True)
-    return (
-        header_issues(spark, header).unionByName(widths).unionByName(malformed).unionByName(cells)
-    )
+    # Both name no field, so each shares one issue: its first row, and a count.
+    structural = _first_with_count(widths.unionByName(malformed))
+    cells = validate_facts(numbered.drop("width"), rows.drop(RAW_COLUMN), names, per_cell=True)
+    return header_issues(spark, header).unionByName(structural).unionByName(cells)
 
 
 def _first_with_count(issues: DataFrame) -> DataFrame:
@@ -193,9 +234,3 @@ def _first_with_count(issues: DataFrame) -> DataFrame:
             for f in ISSUE_SCHEMA
         ]
     )
-
-
-def _valid_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line of the file is valid UTF-8, checked line by line."""
-    lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return lines.isEmpty()

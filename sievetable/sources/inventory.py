@@ -1,7 +1,8 @@
 """Format and dialect evidence for a corpus of files: one row in, one row out.
 
-Input rows have ``path`` and ``content``, and may have ``media_type`` and
-``declared``. Evidence is column expressions over the first 64 KiB.
+Input rows have ``path`` and ``content``, and may have ``media_type``,
+``declared`` and ``cut`` (the content is only the start of the file). Evidence is
+column expressions over the first 64 KiB.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 64 * 1024
+# Larger files are never held whole: their first lines are read as text.
+WHOLE_BYTES = 64 * 1024 * 1024
+HEAD_LINES = 4096
 
 # Formats by extension and by media type.
 EXTENSIONS = {
@@ -69,6 +73,44 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, bytes, cut) of every non-empty file, content enough to detect it.
+
+    Files up to ``WHOLE_BYTES`` come whole. Of larger ones the lines at the start
+    of the first split are gathered, at most 64 KiB of them; a file's size is no
+    limit, and each task holds one file's head.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    whole = found.filter((F.col("length") > 0) & (F.col("length") <= WHOLE_BYTES)).select(
+        "path", "content", F.col("length").alias("bytes"), F.lit(False).alias("cut")
+    )
+    # Both filters are on file facts, so small files are not opened here.
+    if found.filter(F.col("length") > WHOLE_BYTES).select("path").isEmpty():
+        return whole
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    first = (
+        lines.filter(F.col("_metadata.file_size") > WHOLE_BYTES)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_size").alias("bytes"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("value"),
+        )
+        .withColumn("place", place)
+        .filter((F.col("block") == 0) & (F.col("place") < HEAD_LINES))
+        .select("path", "bytes", "place", F.substring("value", 1, SAMPLE_BYTES + 1).alias("value"))
+    )
+    heads = first.groupBy("path", "bytes").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n"
+        ).alias("text")
+    )
+    return whole.unionByName(
+        heads.select("path", F.encode("text", "UTF-8").alias("content"), "bytes", F.lit(True).alias("cut"))
+    )
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)\z", 1))
 
@@ -98,7 +140,12 @@ def sample_text(content: Column) -> Column:
     head = F.substring(content, 1, SAMPLE_BYTES)
     wide = F.decode(F.substring(head, 3, SAMPLE_BYTES), "UTF-16LE")
     wide_big = F.decode(F.substring(head, 3, SAMPLE_BYTES), "UTF-16BE")
-    plain = F.try_validate_utf8(head.cast("string"))
+    # The sample may end inside a character, which has four bytes at most.
+    ends = [F.substring(head, 1, SAMPLE_BYTES - missing) for missing in range(4)]
+    whole = F.octet_length(content) <= SAMPLE_BYTES
+    plain = F.when(whole, F.try_validate_utf8(head.cast("string"))).otherwise(
+        F.coalesce(*[F.try_validate_utf8(end.cast("string")) for end in ends])
+    )
     encoding = text_encoding(content)
     text = F.when(encoding == "utf-16le", wide).when(encoding == "utf-16be", wide_big).otherwise(plain)
     return F.regexp_replace(text, r"\A\x{FEFF}", "")
@@ -136,12 +183,26 @@ def sniff_delimiter(text: Column) -> Column:
     return F.array_max(F.array(*scored))["d"]
 
 
-def structured_content(text: Column, fallback: Column | None = None) -> Column:
-    """ndjson, json, xml, tsv or csv by the look of the text, else null."""
+def one_json_value(text: Column) -> Column:
+    """The text is one JSON value, with nothing after it."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(listed.isNotNull() & single, F.lit(False))
+
+
+def structured_content(text: Column, fallback: Column | None = None, cut: Column | None = None) -> Column:
+    """ndjson, json, xml, tsv or csv by the look of the text, else null.
+
+    Of a ``cut`` text the last line is left out when lines are looked at, as it
+    may be only a part.
+    """
+    cut = F.lit(False) if cut is None else cut
     trimmed = F.regexp_replace(text, r"\A\s+|\s+\z", "")
-    lines = F.filter(F.split(trimmed, r"\r?\n"), lambda line: line.rlike(r"\S"))
+    ended = F.regexp_replace(text, r"[^\n]*\z", "")
+    complete = F.when(cut & ended.contains("\n"), F.regexp_replace(ended, r"\A\s+|\s+\z", "")).otherwise(trimmed)
+    lines = F.filter(F.split(complete, r"\r?\n"), lambda line: line.rlike(r"\S"))
     objects = F.forall(
-        lines, lambda line: line.rlike(r"\A\s*[\[{]") & F.try_parse_json(line).isNotNull()
+        lines, lambda line: line.rlike(r"\A\s*[\[{]") & one_json_value(line)
     )
     first = F.slice(lines, 1, 5)
 
@@ -150,11 +211,12 @@ def structured_content(text: Column, fallback: Column | None = None) -> Column:
         return (counts[0] > 0) & (F.array_min(counts) == F.array_max(counts))
 
     bracket, brace = trimmed.startswith("["), trimmed.startswith("{")
-    whole = F.try_parse_json(trimmed).isNotNull()
+    whole = one_json_value(trimmed)
+    several = (F.size(lines) > 1) | (cut & (complete != trimmed))
     fallback = F.lit(None).cast("string") if fallback is None else fallback
     return (
         F.when(trimmed.isNull() | (trimmed == ""), F.lit(None))
-        .when((F.size(lines) > 1) & objects, "ndjson")
+        .when(several & objects, "ndjson")
         .when(bracket | (brace & whole), "json")
         .when(brace, fallback)
         .when(trimmed.startswith("<"), "xml")
@@ -198,6 +260,8 @@ def detect(files: DataFrame) -> DataFrame:
     for name in ("media_type", "declared"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
+    if "cut" not in files.columns:
+        files = files.withColumn("cut", F.lit(False))
     content = F.col("content")
     media = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
     declared = F.regexp_replace(F.lower(F.trim("declared")), r"\A\.", "")
@@ -208,6 +272,7 @@ def detect(files: DataFrame) -> DataFrame:
         is_cube(content).alias("_cube"),
         text_encoding(content).alias("_enc"),
         sample_text(content).alias("_text"),
+        (F.octet_length(content) > SAMPLE_BYTES).alias("_longer"),
         _lookup(media, MEDIA_TYPES).alias("_media"),
         declared.alias("_declared"),
     )
@@ -215,7 +280,7 @@ def detect(files: DataFrame) -> DataFrame:
     fallback = F.when(by_extension.isin("json", "ndjson"), by_extension)
     evidence = evidence.withColumns(
         {
-            "_structured": structured_content(F.col("_text"), fallback),
+            "_structured": structured_content(F.col("_text"), fallback, F.col("cut") | F.col("_longer")),
             "_by_extension": by_extension,
         }
     )
@@ -249,7 +314,8 @@ def detect(files: DataFrame) -> DataFrame:
     by_text = F.col("found.format").isin("csv", "tsv", "json", "ndjson", "xml") & F.col(
         "found.confidence"
     ).isin("media-type", "content")
-    extra = [c for c in files.columns if c not in ("content", "media_type", "declared")]
+    extra = [c for c in files.columns if c not in ("content", "media_type", "declared", "cut")]
+    header = F.regexp_extract("_text", r"\A([^\r\n]*)", 1)
     return evidence.withColumn("found", found).select(
         *extra,
         F.col("_ext").alias("extension"),
@@ -257,6 +323,7 @@ def detect(files: DataFrame) -> DataFrame:
         "found.confidence",
         F.when(by_text, F.col("_enc")).alias("encoding"),
         F.when(by_text, F.col("_delimiter")).alias("delimiter"),
+        F.when(F.col("found.format").isin("csv", "tsv"), header).alias("header"),
     )
 
 

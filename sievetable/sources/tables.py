@@ -1,7 +1,7 @@
 """Open, validate or convert a path, whatever its format.
 
-The format is detected from one file of the path; every file below a folder is
-then read with the same rules.
+Every file below a folder is looked at first. Files of different formats, dialects
+or headers are an error that names them; they are never read by each other's rules.
 """
 
 from __future__ import annotations
@@ -36,23 +36,46 @@ class Opened(NamedTuple):
     code_columns: list[str]
 
 
+def detect_files(
+    spark: SparkSession, path: str, *, media_type: str | None = None, declared: str | None = None
+) -> DataFrame:
+    """Format evidence of every non-empty file of a path."""
+    heads = inventory.read_heads(spark, path).withColumns(
+        {
+            "media_type": F.lit(media_type).cast("string"),
+            "declared": F.lit(declared).cast("string"),
+        }
+    )
+    return inventory.detect(heads)
+
+
 def detect_path(
     spark: SparkSession, path: str, *, media_type: str | None = None, declared: str | None = None
 ) -> Row:
-    """format, confidence, encoding and delimiter of the first file of a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # Only the path column is needed to choose the file, so no content is read.
-    first = files.agg(F.min("path").alias("path")).first().path
-    if first is None:
-        raise DataError("LOCAL_FILE_NOT_FOUND", "There is no file at the path.", path=path)
-    # Read that one file: a filter on the path would still open the others.
-    chosen = spark.read.format("binaryFile").load(first).select(
-        "path",
-        "content",
-        F.lit(media_type).cast("string").alias("media_type"),
-        F.lit(declared).cast("string").alias("declared"),
-    )
-    return inventory.detect(chosen).first()
+    """format, confidence, encoding, delimiter and first file of a path whose files are alike."""
+    found = detect_files(spark, path, media_type=media_type, declared=declared)
+    rules = ["format", "encoding", "delimiter", "header"]
+    first = F.min(F.struct("path", "extension", "confidence", "bytes")).alias("first")
+    # Two kinds are enough to refuse, so the driver sees three rows at most.
+    kinds = found.groupBy(*rules).agg(first).select(*rules, "first.*").orderBy("path").limit(3).collect()
+    if not kinds:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        if files.select("path").isEmpty():
+            raise DataError("LOCAL_FILE_NOT_FOUND", "There is no file at the path.", path=path)
+        raise DataError("EMPTY_INPUT", "All files of the path are empty.", path=path)
+    if len({k.format for k in kinds}) > 1:
+        raise DataError(
+            "MIXED_FORMATS",
+            "The files of the path have different formats.",
+            formats={k.path: k.format for k in kinds},
+        )
+    if kinds[0].format in ("csv", "tsv") and len(kinds) > 1:
+        raise DataError(
+            "MIXED_HEADERS",
+            "The files of the path have different headers or dialects.",
+            headers={k.path: k.header for k in kinds},
+        )
+    return kinds[0]
 
 
 def open_table(
@@ -84,9 +107,10 @@ def open_table(
     return _open_cube(spark, path)
 
 
-def _open_xml(spark: SparkSession, path: str, record_path: str | None) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
-    documents = texts.select(F.input_file_name().alias("document"), F.col("value").alias("xml"))
+def _xml_records(spark: SparkSession, path: str, record_path: str | None) -> DataFrame:
+    """Records of all documents, and a row with an error for each broken one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    documents = files.select(F.col("path").alias("document"), F.col("content").alias("xml"))
     if record_path is None:
         paths = xml_records.element_paths(documents)
         best = xml_records.record_paths(paths, per_document=False)
@@ -94,13 +118,23 @@ def _open_xml(spark: SparkSession, path: str, record_path: str | None) -> DataFr
         record_path = chosen.record_path if chosen is not None else None
     if record_path is None:
         raise DataError("XML_RECORD_PATH_REQUIRED", "Choose the path of the records.")
-    given = documents.withColumn("record_path", F.lit(record_path))
-    records = xml_records.xml_records(given)
+    return xml_records.xml_records(documents.withColumn("record_path", F.lit(record_path)))
+
+
+def _xml_table(records: DataFrame) -> DataFrame:
     # Names are schema: the driver gets one row per distinct field.
     names = sorted(r.field for r in xml_records.field_names(records).collect())
     if not names:
         raise DataError("EMPTY_INPUT", "The path has no records.")
-    return xml_records.record_columns(records, names).drop("document", "record")
+    return xml_records.record_columns(records, names)
+
+
+def _open_xml(spark: SparkSession, path: str, record_path: str | None) -> DataFrame:
+    records = _xml_records(spark, path, record_path)
+    broken = records.filter(F.col("error").isNotNull()).select("document", "error").first()
+    if broken is not None:
+        raise DataError("INVALID_XML", "A document cannot be read.", path=broken.document, detail=broken.error)
+    return _xml_table(records).drop("document", "record")
 
 
 def _open_cube(spark: SparkSession, path: str) -> Opened:
@@ -108,24 +142,100 @@ def _open_cube(spark: SparkSession, path: str) -> Opened:
     rows = cube_files.statements(files)
     problem = cube_files.metadata_problems(rows).first()
     if problem is not None:
-        raise DataError(problem.code, "The cube file cannot be decoded.", cube=problem.cube)
+        raise DataError(problem.code, "The cube file cannot be decoded.", cube=problem.cube, detail=problem.detail)
     dimensions = cube_files.dimensions(rows)
-    # Dimension names are schema: one row per dimension of the first file.
-    listed = (
-        dimensions.groupBy("cube", "dimension", "name")
-        .agg(F.max(F.col("code").isNotNull()).alias("coded"))
-        .orderBy("cube", "dimension")
-        .limit(cube.MAX_DIMENSIONS)
-        .collect()
-    )
-    own = [(r.name, r.coded) for r in listed if r.cube == listed[0].cube]
-    bindings = cube.column_bindings(own)
-    chunks = cube_files.cell_chunks(files).drop("error")
+    bound = cube.check_dimensions(dimensions).first()
+    if bound is not None:
+        raise DataError("PCAXIS_LIMIT", f"The cube has {bound.problem}.", cube=bound.cube, actual=bound.actual)
+    # One row per set of dimensions; a second one is enough to refuse the path.
+    listed = dimensions.groupBy("cube", "dimension", "name").agg(F.max(F.col("code").isNotNull()).alias("coded"))
+    shapes = listed.groupBy("cube").agg(F.array_sort(F.collect_list(F.struct("dimension", "name", "coded"))).alias("d"))
+    kinds = shapes.groupBy("d").agg(F.min("cube").alias("cube")).orderBy("cube").limit(2).collect()
+    if len(kinds) > 1:
+        raise DataError(
+            "MIXED_CUBES", "The cubes of the path have different dimensions.", cubes=[k.cube for k in kinds]
+        )
+    bindings = cube.column_bindings([(d.name, d.coded) for d in kinds[0].d])
+    chunks = cube_files.cell_chunks(files)
+    unreadable = chunks.filter(F.col("error").isNotNull()).select("cube", "error").first()
+    if unreadable is not None:
+        raise DataError(unreadable.error, "The cells of the cube cannot be read.", cube=unreadable.cube)
+    chunks = chunks.drop("error")
     cube.require_complete(chunks, dimensions)
+    bad = cube.invalid_tokens(chunks).first()
+    if bad is not None:
+        raise DataError("INVALID_PCAXIS_DATA", "A cell is no number and no symbol.", cube=bad.cube, cell=bad.token)
     table = cube.to_columns(cube.decode(chunks, dimensions), bindings).drop("index")
     return Opened(table, "pcaxis", [b.code for b in bindings if b.code is not None])
 
 
+def _parse_errors(bad: DataFrame) -> DataFrame:
+    """One PARSE_ERROR for all (row, detail) that cannot be read: the first row, and a count."""
+    first = bad.agg(
+        F.min("row").alias("row"), F.min_by("detail", F.coalesce("row", F.lit(0))).alias("detail"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 0")
+    return first.select(
+        *quality.issue(
+            "PARSE_ERROR",
+            row=F.col("row"),
+            occurrences=F.col("n"),
+            context=F.create_map(F.lit("detail"), F.coalesce("detail", F.lit(""))),
+        )
+    )
+
+
+def _validate_texts(spark: SparkSession, numbered: DataFrame, schema: str | None) -> DataFrame:
+    """Issues of numbered JSON texts (row, value): those that cannot be parsed, and the others' rows."""
+    bad = numbered.filter(~inventory.one_json_value(F.col("value")))
+    errors = _parse_errors(bad.select("row", F.substring("value", 1, 80).alias("detail")))
+    if schema is None:
+        return errors
+    parsed = numbered.filter(inventory.one_json_value(F.col("value"))).select(
+        F.col("row").alias("_row"), F.inline(F.array(F.from_json(json_docs.as_record(F.col("value")), schema)))
+    )
+    return errors.unionByName(quality.validate(parsed, position="_row"))
+
+
+def validate_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Issues of newline-delimited JSON, rows numbered in the order of the files."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    numbered = positions.number_text_rows(lines).select("row", "value")
+    read = spark.read.option("columnNameOfCorruptRecord", "_broken").json(path).drop("_broken")
+    return _validate_texts(spark, numbered, read.schema.simpleString() if read.columns else None)
+
+
+def validate_json_document(spark: SparkSession, path: str) -> DataFrame:
+    """Issues of JSON documents, items numbered within each file in its order."""
+    whole = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")
+    )
+    valid = inventory.one_json_value(F.col("value"))
+    broken = whole.filter(~valid).select(F.lit(None).cast("bigint").alias("row"), F.substring("value", 1, 80).alias("detail"))
+    items = whole.filter(valid).select(
+        "file",
+        F.posexplode(F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).alias("place", "value"),
+    )
+    numbered = positions.number_file_rows(
+        items, [F.col("file")], F.col("place"), pieces=positions.pieces_bound(whole, splits=False)
+    ).select("row", "value")
+    reader = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_broken")
+    read = reader.json(path).drop("_broken")
+    rows = _validate_texts(spark, numbered, read.schema.simpleString() if read.columns else None)
+    return _parse_errors(broken).unionByName(rows)
+
+
+def validate_xml(spark: SparkSession, path: str, record_path: str | None = None) -> DataFrame:
+    """Issues of XML records, numbered in the order of the files."""
+    records = _xml_records(spark, path, record_path)
+    broken = records.filter(F.col("error").isNotNull())
+    errors = _parse_errors(broken.select(F.lit(None).cast("bigint").alias("row"), F.col("error").alias("detail")))
+    read = _xml_table(records)
+    numbered = positions.number_file_rows(
+        read, [F.col("document")], F.col("record"), pieces=positions.MAX_BROADCAST_PIECES + 1, row="_row"
+    ).drop("document", "record")
+    return errors.unionByName(quality.validate(numbered, position="_row"))
+
+
 def validate_path(
     spark: SparkSession,
     path: str,
@@ -152,6 +262,12 @@ def validate_path(
         issues = quality.validate(
             numbered.drop("_metadata"), position="_row", columns=table.columns
         )
+    elif found.format == "ndjson":
+        issues = validate_json_lines(spark, path)
+    elif found.format == "json":
+        issues = validate_json_document(spark, path)
+    elif found.format == "xml":
+        issues = validate_xml(spark, path, record_path)
     else:
         opened = open_table(spark, path, format=found.format, record_path=record_path)
         issues = quality.validate(opened.table, order_by)

@@ -1,7 +1,9 @@
 """Records in XML documents: discovery of the record path, and flattening.
 
-Documents are rows of text (one per file); each is parsed on its own inside a
-task and leaves as narrow rows, so counting and choosing are Spark aggregates.
+Documents are rows of text, or of bytes in the encoding they declare (one per
+file); each is parsed on its own inside a task and leaves as narrow rows, so
+counting and choosing are Spark aggregates. A document that cannot be read is one
+row with an error.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ RECORD_PATH = r"\A(?:/[^/\s]+)+\z"
 MAX_DEPTH = 128
 
 
-def _open(xml: str, on_start: object, on_end: object, on_text: object = None) -> None:
+def _open(xml: str | bytes, on_start: object, on_end: object, on_text: object = None) -> None:
     parser = expat.ParserCreate()
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler = on_start, on_end
@@ -35,7 +37,7 @@ def _open(xml: str, on_start: object, on_end: object, on_text: object = None) ->
     parser.Parse(xml, True)
 
 
-def _element_paths(xml: str) -> list[tuple[str, int, int]]:
+def _element_paths(xml: str | bytes) -> list[tuple[str, int, int]]:
     """(path, occurrences, occurrences with children) of one document."""
     stack: list[list] = []
     counts: dict[str, list[int]] = {}
@@ -64,7 +66,7 @@ def element_paths(documents: DataFrame) -> DataFrame:
         for document, xml in zip(batch["document"], batch["xml"], strict=True):
             try:
                 yield from [(document, *entry, None) for entry in _element_paths(xml)]
-            except (expat.ExpatError, ValueError) as error:
+            except (expat.ExpatError, ValueError, LookupError) as error:
                 yield document, None, 0, 0, str(error)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +100,7 @@ def record_paths(paths: DataFrame, *, per_document: bool = True) -> DataFrame:
     )
 
 
-def _records(xml: str, record_path: str) -> Iterator[dict[str, list[str]]]:
+def _records(xml: str | bytes, record_path: str) -> Iterator[dict[str, list[str]]]:
     """Leaves and attributes of each record, by path relative to the record."""
     stack: list[str] = []
     texts: list[list] = []
@@ -143,7 +145,7 @@ def _records(xml: str, record_path: str) -> Iterator[dict[str, list[str]]]:
 
 
 def xml_records(documents: DataFrame) -> DataFrame:
-    """(document, record, fields) from (document, xml, record_path).
+    """(document, record, fields, error) from (document, xml, record_path).
 
     ``fields`` maps a relative path to its values: ``a/b`` a leaf, ``@x`` an
     attribute of the record, ``a/@x`` one further in. Repeats are kept in order.
@@ -153,26 +155,33 @@ def xml_records(documents: DataFrame) -> DataFrame:
         for document, xml, path in zip(
             batch["document"], batch["xml"], batch["record_path"], strict=True
         ):
-            for place, fields in enumerate(_records(xml, path)):
-                yield document, place, fields
+            try:
+                yield from [(document, place, fields, None) for place, fields in enumerate(_records(xml, path))]
+            except (expat.ExpatError, ValueError, LookupError) as error:
+                yield document, None, None, str(error)
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from in_frames(rows(batch), ["document", "record", "fields"])
+            for frame in in_frames(rows(batch), ["document", "record", "fields", "error"]):
+                yield frame.astype({"record": "Int64"})
 
-    schema = "document string, record bigint, fields map<string, array<string>>"
+    schema = "document string, record bigint, fields map<string, array<string>>, error string"
     chosen = documents.filter(F.col("record_path").rlike(RECORD_PATH))
     return chosen.select("document", "xml", "record_path").mapInPandas(flatten, schema)
 
 
 def record_columns(records: DataFrame, names: list[str]) -> DataFrame:
-    """Chosen fields as text columns: one value as is, repeats as a JSON list."""
+    """Chosen fields as text columns: one value as is, repeats as a JSON list.
+
+    Rows of documents that could not be read are left out.
+    """
 
     def shown(name: str) -> Column:
         values = F.col("fields")[name]
         return F.when(F.size(values) > 1, F.to_json(values)).otherwise(values[0]).alias(name)
 
-    return records.select("document", "record", *[shown(n) for n in names])
+    read = records.filter(F.col("record").isNotNull())
+    return read.select("document", "record", *[shown(n) for n in names])
 
 
 def field_names(records: DataFrame) -> DataFrame:

@@ -70,3 +70,99 @@ def test_conversion_of_a_path(spark, tmp_path):
     step = records.first().transformations[0]
     assert step.operation == "convert" and step.details["spreadsheetSafeChanges"] == "1"
     assert len(step.inputSha256) == 64
+
+
+def test_ndjson_beyond_the_sample_keeps_its_rows(spark, tmp_path):
+    lines = "".join(f'{{"id":{i},"t":"{"x" * 40}"}}\n' for i in range(3000))
+    for name in ("long.ndjson", "long.txt"):
+        opened = tables.open_table(spark, write(tmp_path, name, lines))
+        assert (opened.format, opened.table.count()) == ("ndjson", 3000)
+
+
+def test_a_character_on_the_edge_of_the_sample(spark, tmp_path):
+    start = "a,b\n" + "x,y\n" * 16383
+    text = start[: 64 * 1024 - 1] + "é,z\n" + "x,y\n" * 10
+    assert len(start[: 64 * 1024 - 1].encode()) == 64 * 1024 - 1
+    found = tables.detect_path(spark, write(tmp_path, "edge.csv", text.encode()))
+    assert found.format == "csv" and found.delimiter == ","
+
+
+def test_one_broken_json_line_is_an_issue(spark, tmp_path):
+    text = "".join(f'{{"id":{i}}}\n' for i in range(550)) + "{broken\n"
+    found = tables.validate_path(spark, write(tmp_path, "late.ndjson", text)).collect()
+    errors = [(r.code, r.row, r.severity) for r in found if r.code == "PARSE_ERROR"]
+    assert errors == [("PARSE_ERROR", 552, "error")]
+
+
+def test_rows_of_json_follow_the_file(spark, tmp_path):
+    lines = '{"v":"b"}\n\n{"v":"=x"}\n{"v":"a"}\n{"v":"b"}\n'
+    found = {(r.code, r.row) for r in tables.validate_path(spark, write(tmp_path, "o.ndjson", lines)).collect()}
+    assert {("FORMULA_LIKE_VALUE", 3), ("DUPLICATE_ROW", 5)} <= found
+    document = '[{"v":"b"},{"v":"=x"},{"v":"a"},{"v":"b"}]'
+    found = {(r.code, r.row) for r in tables.validate_path(spark, write(tmp_path, "o.json", document)).collect()}
+    assert {("FORMULA_LIKE_VALUE", 3), ("DUPLICATE_ROW", 5)} <= found
+
+
+def test_folders_of_different_files_are_refused(spark, tmp_path):
+    cases = {
+        "MIXED_FORMATS": {"a.csv": "id,n\n1,2\n3,4\n", "b.json": '[{"id":1}]'},
+        "MIXED_HEADERS": {"a.csv": "id,name\n1,x\n2,y\n", "b.csv": "name,id\nx,1\ny,2\n"},
+    }
+    for code, files in cases.items():
+        folder = tmp_path / code
+        folder.mkdir()
+        for name, content in files.items():
+            (folder / name).write_text(content)
+        with pytest.raises(DataError) as caught:
+            tables.open_table(spark, str(folder))
+        assert caught.value.code == code
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'id,t\n1,"a\nb"\n2,"c ""d""\n\n"\n3,e\n')
+    assert [r.t for r in tables.open_table(spark, path).table.orderBy("id").collect()] == ["a\nb", 'c "d"\n\n', "e"]
+    assert tables.validate_path(spark, path).count() == 0
+
+
+def test_bad_cubes_are_refused(spark, tmp_path):
+    good = 'CHARSET="ANSI";CODEPAGE="windows-1250";MATRIX="m";STUB="a";VALUES("a")="x","y";DATA=\n1 2;'
+    cases = {
+        "cell.px": (good.replace("1 2", "1 x"), "INVALID_PCAXIS_DATA"),
+        "values.px": (good.replace('STUB="a"', 'STUB="a","z"'), "INVALID_PCAXIS_DATA"),
+        "list.px": (
+            good.replace(";DATA", ';LANGUAGES="sl","en";STUB[en]="b";VALUES[en]("b")="only";DATA'),
+            "INVALID_PCAXIS_DATA",
+        ),
+    }
+    for name, (content, code) in cases.items():
+        with pytest.raises(DataError) as caught:
+            tables.open_table(spark, write(tmp_path, name, content))
+        assert caught.value.code == code
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.px").write_text(good)
+    (folder / "b.px").write_text(good.replace('STUB="a"', 'STUB="b"').replace('VALUES("a")', 'VALUES("b")'))
+    with pytest.raises(DataError) as caught:
+        tables.open_table(spark, str(folder))
+    assert caught.value.code == "MIXED_CUBES"
+
+
+def test_broken_xml_is_one_error(spark, tmp_path):
+    folder = tmp_path / "xml"
+    folder.mkdir()
+    (folder / "a.xml").write_text("<r><i><v>=1</v></i><i><v>2</v></i></r>")
+    (folder / "b.xml").write_text("<r><i><v>1</v></i><i>")
+    wide = '<?xml version="1.0" encoding="windows-1250"?><r><i><v>Č</v></i><i><v>ž</v></i></r>'
+    (folder / "c.xml").write_bytes(wide.encode("cp1250"))
+    found = [(r.code, r.row) for r in tables.validate_path(spark, str(folder), record_path="/r/i").collect()]
+    assert sorted(c for c, _ in found) == ["FORMULA_LIKE_VALUE", "MIXED_TYPES", "PARSE_ERROR"]
+    with pytest.raises(DataError) as caught:
+        tables.open_table(spark, str(folder), record_path="/r/i")
+    assert caught.value.code == "INVALID_XML"
+
+
+def test_a_map_column_is_validated(spark):
+    from sievetable.operators import quality
+
+    frame = spark.createDataFrame([({"a": 1}, "x"), ({"a": 1}, "x")], "m map<string,int>, s string")
+    assert [r.code for r in quality.validate(frame).collect()] == ["DUPLICATE_ROW"]
