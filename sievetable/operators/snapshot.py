@@ -137,6 +137,36 @@ def manifests(files: DataFrame) -> DataFrame:
     )
 
 
+def manifest_mismatches(snapshots: DataFrame, manifest_rows: DataFrame) -> DataFrame:
+    """(snapshot_path, field) where a snapshot file differs from its manifest.
+
+    ``snapshots``: snapshot_path and content (JSON with ``count`` and
+    ``generatedAt``). A snapshot without a manifest, or the reverse, differs in
+    ``manifest`` or ``snapshot``.
+    """
+    text = F.col("content").cast("string")
+    facts = snapshots.select(
+        "snapshot_path",
+        F.octet_length("content").cast("bigint").alias("_bytes"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("_sha256"),
+        F.get_json_object(text, "$.count").try_cast("bigint").alias("_count"),
+        F.get_json_object(text, "$.generatedAt").alias("_generated_at"),
+        F.lit(True).alias("_there"),
+    )
+    listed = manifest_rows.select("snapshot_path", "bytes", "sha256", "count", "generated_at", F.lit(True).alias("_listed"))
+    both = facts.join(listed, "snapshot_path", "full")
+    pairs = {"bytes": "bytes", "sha256": "sha256", "count": "count", "generatedAt": "generated_at"}
+    present = F.col("_there").isNotNull() & F.col("_listed").isNotNull()
+    wrong = [
+        F.when(present & ~F.col(f"_{column}").eqNullSafe(F.col(column)), F.lit(name)) for name, column in pairs.items()
+    ]
+    one_sided = [
+        F.when(F.col("_listed").isNull(), F.lit("manifest")),
+        F.when(F.col("_there").isNull(), F.lit("snapshot")),
+    ]
+    return both.select("snapshot_path", F.explode(F.array_compact(F.array(*wrong, *one_sided))).alias("field"))
+
+
 def retained(manifest_rows: DataFrame, now: Column) -> DataFrame:
     """Manifests of the last 48 hours, newest first, then by path."""
     made = utc(F.col("generated_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "cubes", "tables", "catalogues", "files", "scale")
+MODULES = ("quality", "cubes", "tables", "catalogues", "files", "scale", "paths")
 
 
 def load() -> None:
