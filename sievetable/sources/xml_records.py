@@ -8,7 +8,7 @@ row with an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pandas as pd
@@ -184,6 +184,81 @@ def record_columns(records: DataFrame, names: list[str]) -> DataFrame:
     return read.select("document", "record", *[shown(n) for n in names])
 
 
+def _element_type(names: list[list[str]]) -> T.DataType:
+    """Schema of an element from the inner paths that are wanted of it; a leaf may have attributes."""
+    fields: dict[str, list[list[str]]] = {}
+    for steps in names:
+        if steps:
+            fields.setdefault(steps[0], []).append(steps[1:])
+    if not fields:
+        return T.StringType()
+    made = [
+        T.StructField(name, T.StringType() if name.startswith("@") else T.ArrayType(_element_type(inner)))
+        for name, inner in fields.items()
+    ]
+    if any(not steps for steps in names):
+        made.append(T.StructField("_VALUE", T.StringType()))
+    return T.StructType(made)
+
+
+def _values(element: Column, data_type: T.DataType, steps: list[str]) -> Column:
+    """All texts at an inner path of an element, in order."""
+    if not steps:
+        return F.array(element["_VALUE"] if isinstance(data_type, T.StructType) else element)
+    if steps[0].startswith("@"):
+        return F.array(element[steps[0]])
+    inner = data_type[steps[0]].dataType.elementType
+    each = F.coalesce(element[steps[0]], F.array().cast(T.ArrayType(inner)))
+    return F.flatten(F.transform(each, lambda x: _values(x, inner, steps[1:])))
+
+
+def _children(name: str, data_type: T.DataType) -> Callable[[Column], Column]:
+    """The elements of a name inside an element; none is an empty list."""
+    return lambda x: F.coalesce(x[name], F.array().cast(data_type))
+
+
+def record_rows(documents: DataFrame, record_path: str, names: list[str]) -> DataFrame:
+    """(document, record, error, one text column per name) by Spark's XML functions.
+
+    Names are paths inside a record as in ``xml_records``; repeats become a JSON
+    list. A document that is not well-formed is one row with an error.
+    """
+    steps = [s for s in record_path.split("/") if s][1:]
+    inner = [[s for s in name.split("/") if s] for name in names]
+    record = _element_type(inner)
+    root: T.DataType = record
+    for step in reversed(steps):
+        root = T.StructType([T.StructField(step, T.ArrayType(root))])
+    schema = T.StructType([*root.fields, T.StructField("_broken", T.StringType())])
+    options = {"attributePrefix": "@", "valueTag": "_VALUE", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = documents.select("document", F.from_xml("xml", schema, options).alias("root"))
+    found, data_type = F.array("root"), T.ArrayType(schema)
+    for step in steps:
+        data_type = data_type.elementType[step].dataType
+        found = F.flatten(F.transform(found, _children(step, data_type)))
+    broken = parsed.filter(F.col("root").isNull() | F.col("root._broken").isNotNull()).select(
+        "document",
+        F.lit(None).cast("bigint").alias("record"),
+        F.lit("not well-formed").alias("error"),
+        *[F.lit(None).cast("string").alias(n) for n in names],
+    )
+    rows = parsed.filter(F.col("root._broken").isNull()).select("document", F.posexplode(found).alias("place", "element"))
+
+    def shown(path: list[str], name: str) -> Column:
+        texts = F.filter(
+            F.transform(_values(F.col("element"), record, path), lambda v: F.trim(v)), lambda v: v != ""
+        )
+        return F.when(F.size(texts) > 1, F.to_json(texts)).otherwise(F.get(texts, F.lit(0))).alias(name)
+
+    flat = rows.select(
+        "document",
+        F.col("place").cast("bigint").alias("record"),
+        F.lit(None).cast("string").alias("error"),
+        *[shown(p, n) for p, n in zip(inner, names, strict=True)],
+    )
+    return flat.unionByName(broken)
+
+
 def field_names(records: DataFrame) -> DataFrame:
     """Every field with the number of records that have it."""
     each = records.select(F.explode(F.map_keys("fields")).alias("field"))

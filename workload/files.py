@@ -109,13 +109,26 @@ def xml_record_paths(spark, sf_dir):
  'usd' AS unit, '["one","' || s_name || '"]' AS tag FROM f""",
 )
 def xml_rows(spark, sf_dir):
-    documents = supplier_xml(spark, sf_dir).withColumn("record_path", F.lit("/s:nation/s:supplier"))
-    records = xml_records.xml_records(documents)
     names = ["@key", "s:name", "s:account/s:balance", "s:account/@unit", "s:tag"]
-    flat = xml_records.record_columns(records, names)
+    flat = xml_records.record_rows(supplier_xml(spark, sf_dir), "/s:nation/s:supplier", names).drop("error")
     return flat.toDF("document", "record", "key", "name", "balance", "unit", "tag")
 
 
+@query(
+    "xml_broken_documents",
+    f"""{_XML}, k AS (SELECT document, n, (ascii(document) + n) % 4 = 0 AS bad FROM n)
+SELECT document, CASE WHEN bad THEN 0 ELSE n END AS records, CASE WHEN bad THEN 1 ELSE 0 END::BIGINT AS errors FROM k""",
+)
+def xml_broken_documents(spark, sf_dir):
+    """Documents of which some lack their end: an error row each, and all rows of the others."""
+    made = supplier_xml(spark, sf_dir)
+    n = F.size(F.split("xml", "<s:empty/>")) - 1
+    bad = (F.ascii("document") + n) % 4 == 0
+    cut = F.when(bad, F.expr("substring(xml, 1, length(xml) - 12)")).otherwise(F.col("xml"))
+    rows = xml_records.record_rows(made.withColumn("xml", cut), "/s:nation/s:supplier", ["s:name"])
+    return rows.groupBy("document").agg(F.count("record").alias("records"), F.count("error").alias("errors"))
+
+
 @query(
     "xml_native_rows",
     f"""{_XML} SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS key, s_name AS name,
