@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievetable.functions.periods import any_period_ordinal, iso_weeks_in_year, period_ordinal
 from sievetable.operators import cube
+from sievetable.plans.staged import kept
 from sievetable.sources import cube_files
 from workload.registry import query
 from workload.views import table
@@ -32,9 +33,10 @@ def orders_cube(spark, sf_dir):
     """(dimensions, chunks): a cube per market segment, in the decoder's form.
 
     Every cube has the same labels per dimension; a cell without orders holds
-    a quoted symbol.
+    a quoted symbol. What is used several times is written once: the counted
+    cells, the labels, and the result.
     """
-    cells = _cells(spark, sf_dir)
+    cells = kept(_cells(spark, sf_dir), "cube-cells")
     axes = F.array(
         *[
             F.struct(F.lit(i).alias("dimension"), F.lit(n).alias("name"), F.col(n).alias("label"))
@@ -46,10 +48,9 @@ def orders_cube(spark, sf_dir):
     code = F.when(
         F.col("dimension") < 3, F.lpad((F.col("position") + 1).cast("string"), 3, "0")
     )
-    values = labels.withColumn("position", place).withColumn("code", code)
-    sizes = values.groupBy("dimension").agg(F.count(F.lit(1)).alias("size"))
-    size = F.map_from_entries(F.collect_list(F.struct("dimension", "size")))
-    sizes = sizes.agg(size.alias("s"))
+    values = kept(labels.withColumn("position", place).withColumn("code", code), "cube-labels")
+    sizes = {r.dimension: r.size for r in values.groupBy("dimension").agg(F.count(F.lit(1)).alias("size")).collect()}
+    s1, s2, s3 = (sizes.get(i, 0) for i in (1, 2, 3))
 
     def positions(dimension: int, name: str):
         at = values.filter(F.col("dimension") == dimension)
@@ -58,34 +59,26 @@ def orders_cube(spark, sf_dir):
     placed = cells
     for dimension, name in enumerate(("status", "priority", "month"), start=1):
         placed = placed.join(positions(dimension, name), name)
-    s2 = sizes.select(F.col("s")[2]).scalar()
-    s3 = sizes.select(F.col("s")[3]).scalar()
-    s1 = sizes.select(F.col("s")[1]).scalar()
     index = (F.col("p1") * s2 + F.col("p2")) * s3 + F.col("p3")
     indexed = placed.select("cube", index.cast("bigint").alias("index"), "n")
     filled = indexed.groupBy("cube", F.floor(F.col("index") / CHUNK).alias("chunk")).agg(
         F.map_from_entries(F.collect_list(F.struct("index", "n"))).alias("known")
     )
     cubes = cells.select("cube").distinct()
-    last = F.floor((s1 * s2 * s3 - 1) / CHUNK)
-    grid = cubes.select("cube", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
+    total = s1 * s2 * s3
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, total - 1) // CHUNK).cast("bigint"))
+    grid = cubes.select("cube", F.explode(places).alias("chunk"))
     joined = grid.join(filled, ["cube", "chunk"], "left").select(
-        "cube", (F.col("chunk") * CHUNK).alias("base"), (s1 * s2 * s3).alias("total"), "known"
+        "cube", (F.col("chunk") * CHUNK).alias("base"), F.lit(total).cast("bigint").alias("total"), "known"
     )
     token = F.transform(
         F.sequence("base", F.least(F.col("base") + CHUNK, F.col("total")) - 1),
         lambda i: F.coalesce(F.col("known")[i].cast("string"), F.lit('"."')),
     )
     chunks = joined.select("cube", "base", token.alias("cells"))
-    return _per_cube(cubes, values), chunks
-
-
-def _per_cube(cubes, values):
-    """The shared labels, listed for each of the few cubes."""
-    listed = values.agg(F.collect_list(F.struct("*")).alias("v")).select(F.col("v")).scalar()
-    return cubes.select("cube", F.inline(listed)).select(
-        "cube", "dimension", "name", "position", "label", "code"
-    )
+    # Every cube has every label: this is the size of the result, not a search.
+    shared = cubes.crossJoin(values).select("cube", "dimension", "name", "position", "label", "code")
+    return kept(shared, "cube-dimensions"), kept(chunks, "cube-chunks")
 
 
 _CUBE_SQL = """
