@@ -36,6 +36,8 @@ TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 MIN_DIGITS, MIN_LENGTH = 4, 6
 CONTEXT = 64
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: A pattern introduces at least this share of the distinct seeds of its kind.
+MIN_SHARE = 0.005
 BROADCAST_PATTERNS = 100_000
 
 SPAN = "array<struct<kind: string, start: int, end: int>>"
@@ -177,11 +179,14 @@ def scored(graph: DataFrame, counts: DataFrame, belief: DataFrame) -> DataFrame:
 def bootstrap(docs: DataFrame, mentions: DataFrame, text_col: str) -> DataFrame:
     """(pattern, kind): the patterns that are confident in the last round."""
     edges = mentions.where("pattern IS NOT NULL").groupBy("pattern", "value", "kind").agg(F.count("*").alias("m"))
+    seeded = edges.where("kind IS NOT NULL")
+    # a row for each kind
+    kinds = seeded.groupBy("kind").agg(F.count_distinct("value").alias("seeds"))
     supported = (
-        edges.where("kind IS NOT NULL")
-        .groupBy("pattern", "kind")
+        seeded.groupBy("pattern", "kind")
         .agg(F.count_distinct("value").alias("support"))
-        .where(F.col("support") >= MIN_SUPPORT)
+        .join(F.broadcast(kinds), "kind")
+        .where((F.col("support") >= MIN_SUPPORT) & (F.col("support") >= MIN_SHARE * F.col("seeds")))
         .select("pattern")
         .distinct()
     )
