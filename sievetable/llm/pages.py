@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,6 +48,7 @@ CUES = re.compile(
     r"|related|rights reserved|search|menu|click|follow us",
     re.IGNORECASE,
 )
+CUE_CHARACTERS = 300
 NOT_ARTICLE = {"nav", "aside", "footer", "form", "head", "button", "select", "menu", "dialog"}
 NOT_CLASS = set("ad ads advert advertisement comment comments sidebar promo cookie share related footer nav menu".split())
 
@@ -56,12 +58,9 @@ class Block:
     """A leaf block: its text, its open elements and how much of it is links."""
 
     words: list[str] = field(default_factory=list)
-    path: list[tuple[str, frozenset, bool | None]] = field(default_factory=list)
+    path: tuple[tuple[str, frozenset, bool | None], ...] = ()
     linked: int = 0
-
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.words).split())
+    text: str = ""
 
 
 class BlockReader(HTMLParser):
@@ -75,8 +74,10 @@ class BlockReader(HTMLParser):
         self.silent = ""
 
     def ended(self) -> None:
-        if self.now is not None and self.now.text:
-            self.blocks.append(self.now)
+        if self.now is not None:
+            self.now.text = " ".join("".join(self.now.words).split())
+            if self.now.text:
+                self.blocks.append(self.now)
         self.now = None
 
     def close(self) -> None:
@@ -140,7 +141,7 @@ class BlockReader(HTMLParser):
         if self.now is None:
             if not data.strip():
                 return
-            self.now = Block(path=list(self.open))
+            self.now = Block(path=tuple(self.open))
         self.now.words.append(data)
         if any(tag == "a" for tag, _, _ in self.open):
             self.now.linked += len(data)
@@ -157,21 +158,28 @@ def bucket(value: float, edges: tuple[float, ...]) -> int:
     return sum(value >= edge for edge in edges)
 
 
+@lru_cache(maxsize=4096)
+def outer_features(path: tuple[tuple[str, frozenset, bool | None], ...]) -> frozenset[str]:
+    """Names of what is true of a block's ancestors."""
+    outer = [(tag, marks) for tag, marks, _ in path if tag not in INLINE]
+    out = {"always", "tag " + (outer[-1][0] if outer else "")}
+    out |= {f"in {tag}" for tag, _ in outer}
+    out |= {f"is {m}" for _, marks in outer for m in marks}
+    return frozenset(out)
+
+
 def features(block: Block, at: int, total: int) -> list[str]:
     """Names of what is true of a block."""
     text = block.text
-    outer = [(tag, marks) for tag, marks, _ in block.path if tag not in INLINE]
-    out = {"always"}
-    out |= {f"in {tag}" for tag, _ in outer}
-    out |= {f"is {m}" for _, marks in outer for m in marks}
-    out.add("tag " + (outer[-1][0] if outer else ""))
+    out = set(outer_features(block.path))
     out.add(f"length {bucket(len(text), (15, 40, 100, 300))}")
     out.add(f"links {bucket(block.linked / max(1, len(text)), (0.01, 0.3, 0.9))}")
     out.add(f"commas {bucket(text.count(','), (1, 3))}")
     out.add(f"ends {text[-1:] in '.!?…'}")
     out.add(f"place {bucket(at / max(1, total), (0.1, 0.9))}")
-    out |= {"cue " + m[0].lower() for m in CUES.finditer(text)}
-    return sorted(out)
+    if len(text) < CUE_CHARACTERS:
+        out |= {"cue " + m[0].lower() for m in CUES.finditer(text)}
+    return list(out)
 
 
 class Field:
@@ -186,7 +194,8 @@ class Field:
     def emissions(self, page: list[list[str]]) -> np.ndarray:
         """How much each block's features speak for the article."""
         known = self.places.get
-        return np.array([sum(self.weights[i] for i in map(known, names) if i is not None) for names in page])
+        weights = self.weights
+        return np.array([weights[sorted(i for i in map(known, names) if i is not None)].sum() for names in page])
 
     def fit(self, pages: list[list[list[str]]], labels: list[list[int]]) -> None:
         """Maximise the conditional likelihood with Adam; pages are padded to one table."""
@@ -362,10 +371,12 @@ def main_text(model: Field, html: str) -> str:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = MAX_PAGES) -> DataFrame:
     """(id, url, text) of every page; ``text`` is the article's."""
-    sample = pages.where(F.col(html_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html")
-    )
-    model = trained([r["html"] for r in sample.orderBy("h", "html").limit(most).collect()])
+    known = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    # Ids are chosen before pages are fetched, so that tasks send few bytes to the driver.
+    ids = known.where("id IS NOT NULL").select("id").distinct()
+    chosen = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
+    sample = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html"))
+    model = trained([r["html"] for r in sample.orderBy("id").collect()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
