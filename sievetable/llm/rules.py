@@ -24,7 +24,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 MIN_WORDS = 50
 MAX_REPEATED = 50
-MAX_SHARE = 0.2
+MAX_SHARE = 0.1
 MIN_TEXTS = 20
 
 

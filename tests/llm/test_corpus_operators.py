@@ -100,7 +100,7 @@ def test_line_rules(hard, nothing):
 def test_keep_good_removes_lines_and_rejected_rows(spark, hard):
     kept = rules.keep_good(hard)
     assert kept.columns == hard.columns
-    wanted = sorted(x[0] for x in brute.rule_figures(hard_rows(), 0.2, 20) if x[-1])
+    wanted = sorted(x[0] for x in brute.rule_figures(hard_rows(), rules.MAX_SHARE, rules.MIN_TEXTS) if x[-1])
     rows = kept.collect()
     assert sorted(r.doc_id for r in rows) == wanted
     assert not any("Same first line" in r.text for r in rows)

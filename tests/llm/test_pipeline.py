@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sievetable.llm import rules
 from sievetable.llm.shared import table, written
 from tests.llm import brute
 
@@ -32,7 +33,7 @@ def test_order_and_columns(spark, tables):
 
 
 def test_quality_rules(tables):
-    verdicts = brute.rule_figures([(r.doc_id, r.text, r.source) for r in tables[0]], 0.2, 20)
+    verdicts = brute.rule_figures([(r.doc_id, r.text, r.source) for r in tables[0]], rules.MAX_SHARE, rules.MIN_TEXTS)
     assert sorted(r.doc_id for r in tables[1]) == sorted(v[0] for v in verdicts if v[-1])
 
 
