@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_HOT_WEIGHT = 100_000
+# Several salts for a share, as two that meet in one partition would undo the spread.
+SALTS_PER_SHARE = 4
 
 
 def salted_join(
@@ -24,9 +26,9 @@ def salted_join(
 
     A key is hot when it weighs more than a task's even share of all rows (and
     ``hot_weight`` at least), so there are fewer hot keys than shuffle partitions
-    and their broadcast is bounded by that. A hot key is spread over as many
-    salts as it holds shares; every other key takes the ordinary shuffle. The
-    weight of a key is a column of ``small``, or its count in ``large``.
+    and their broadcast is bounded by that. A hot key gets ``SALTS_PER_SHARE``
+    salts for each share it holds; every other key takes the ordinary shuffle.
+    The weight of a key is a column of ``small``, or its count in ``large``.
     """
     keys = list(on)
     if weight is None:
@@ -38,7 +40,7 @@ def salted_join(
     share = F.greatest(F.lit(float(hot_weight)), total / partitions)
     heavy = weighed.select(*keys, F.col(weight).alias("_weight"), share.alias("_share"))
     hot = heavy.filter(F.col("_weight") >= F.col("_share")).select(
-        *keys, F.ceil(F.col("_weight") / F.col("_share")).cast("bigint").alias("_salts")
+        *keys, (SALTS_PER_SHARE * F.ceil(F.col("_weight") / F.col("_share"))).cast("bigint").alias("_salts")
     )
     spread = [F.col(c) for c in (spread_by or [c for c in large.columns if c not in keys])]
     slot = F.pmod(F.xxhash64(*spread), F.col("_salts"))

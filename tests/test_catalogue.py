@@ -223,11 +223,16 @@ def test_salted_join_is_whole_with_a_hot_key(spark):
     expected = large.join(small, "k")
     assert joined.count() == expected.count() == 9000
     spread = skew.salted_join(large, small, ["k"], "n", hot_weight=10, spread_by=["id"])
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
     try:
-        hot = spread.filter("k = -1").groupBy(F.spark_partition_id()).count().count()
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        placed = spread.withColumn("p", F.spark_partition_id()).filter("k = -1")
+        hot = placed.select("p").distinct().count()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for name, value in before.items():
+            spark.conf.set(name, value)
     assert hot > 1
     assert joined.select("k", "id", "n").exceptAll(expected.select("k", "id", "n")).count() == 0
 

@@ -170,8 +170,8 @@ def test_schema_report(spark):
 def test_null_beyond_the_sample_makes_fields_nullable(spark):
     late = F.when(F.col("id") == 524, F.lit(None)).otherwise(F.lit("x"))
     frame = spark.range(550).select("id", late.alias("late"))
-    sampled = {r.name: r.nullable for r in inference.infer_schema(frame, ["id"]).collect()}
-    whole = {r.name: r.nullable for r in inference.infer_schema(frame, ["id"], sample_rows=None).collect()}
+    sampled = {r.name: r.nullable for r in inference.infer_schema(frame, ["id"], sample_rows=inference.SAMPLE_ROWS).collect()}
+    whole = {r.name: r.nullable for r in inference.infer_schema(frame, ["id"]).collect()}
     assert sampled == {"id": True, "late": True}
     assert whole == {"id": False, "late": True}
 
