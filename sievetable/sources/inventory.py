@@ -198,7 +198,8 @@ def structured_content(text: Column, fallback: Column | None = None, cut: Column
     """
     cut = F.lit(False) if cut is None else cut
     trimmed = F.regexp_replace(text, r"\A\s+|\s+\z", "")
-    ended = F.regexp_replace(text, r"[^\n]*\z", "")
+    last = F.length(F.substring_index(text, "\n", -1))
+    ended = F.substring(text, F.lit(1), F.length(text) - last)
     complete = F.when(cut & ended.contains("\n"), F.regexp_replace(ended, r"\A\s+|\s+\z", "")).otherwise(trimmed)
     lines = F.filter(F.split(complete, r"\r?\n"), lambda line: line.rlike(r"\S"))
     objects = F.forall(
