@@ -36,8 +36,6 @@ TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 MIN_DIGITS, MIN_LENGTH = 4, 6
 CONTEXT = 64
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
-#: A pattern introduces at least this share of the distinct seeds of its kind.
-MIN_SHARE = 0.005
 BROADCAST_PATTERNS = 100_000
 
 SPAN = "array<struct<kind: string, start: int, end: int>>"
@@ -156,9 +154,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFram
         F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
     )
     rows = words.where(F.size("w") > 2).select(F.explode(pairs).alias("pattern"))
+    # Counted before the join, which so meets each different pair once. Digests keep the counts
+    # small on disk; that any of 10^10 pairs shares a digest with one of 10^5 patterns has probability below 1e-4.
+    counted = rows.groupBy(F.xxhash64("pattern").alias("h")).agg(F.count("*").alias("n"))
+    keyed = patterns.withColumn("h", F.xxhash64("pattern"))
     few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
-    found = rows.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi")
-    return found.groupBy("pattern").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(keyed) if few else keyed, "h").drop("h")
 
 
 def scored(graph: DataFrame, counts: DataFrame, belief: DataFrame) -> DataFrame:
@@ -179,14 +180,11 @@ def scored(graph: DataFrame, counts: DataFrame, belief: DataFrame) -> DataFrame:
 def bootstrap(docs: DataFrame, mentions: DataFrame, text_col: str) -> DataFrame:
     """(pattern, kind): the patterns that are confident in the last round."""
     edges = mentions.where("pattern IS NOT NULL").groupBy("pattern", "value", "kind").agg(F.count("*").alias("m"))
-    seeded = edges.where("kind IS NOT NULL")
-    # a row for each kind
-    kinds = seeded.groupBy("kind").agg(F.count_distinct("value").alias("seeds"))
     supported = (
-        seeded.groupBy("pattern", "kind")
+        edges.where("kind IS NOT NULL")
+        .groupBy("pattern", "kind")
         .agg(F.count_distinct("value").alias("support"))
-        .join(F.broadcast(kinds), "kind")
-        .where((F.col("support") >= MIN_SUPPORT) & (F.col("support") >= MIN_SHARE * F.col("seeds")))
+        .where(F.col("support") >= MIN_SUPPORT)
         .select("pattern")
         .distinct()
     )

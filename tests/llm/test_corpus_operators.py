@@ -140,6 +140,15 @@ def private_rows():
     return rows + ["".join(rng.choice("a@.1234 -+()😀_é\n") for _ in range(150)) for _ in range(150)]
 
 
+def test_private_pattern_rare_among_many_seeds(spark, shared_dir):
+    rows = [(i, f"please write to user{i}@example.org today") for i in range(1500)]
+    rows += [(2000 + i, f"badge of desk{i}@example.org today") for i in range(4)]
+    rows += [(3000, "badge of Q7741-2093-KX today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in private.find_private(docs).collect()}
+    assert found[3000] == [("email", 9, 22)]
+
+
 def test_private_spans(spark, shared_dir, nothing):
     rows = private_rows()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
