@@ -34,6 +34,8 @@ SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![0
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 
 MIN_DIGITS, MIN_LENGTH = 4, 6
+#: A text without this has no token of so many digits.
+LIKELY = rf"[0-9](?:[^\s0-9]*+[0-9]){{{MIN_DIGITS - 1}}}"
 CONTEXT = 64
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
 BROADCAST_PATTERNS = 100_000
@@ -125,7 +127,7 @@ def other_tokens(text: Column, taken: Column) -> Column:
     free = F.filter(
         cores, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     )
-    return F.when(F.regexp_like(text, F.lit("[0-9]{2}")), free).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(text, F.lit(LIKELY)), free).otherwise(F.array().cast(SPAN))
 
 
 def introduced(text: Column, spans: Column) -> Column:

@@ -149,6 +149,14 @@ def test_private_pattern_rare_among_many_seeds(spark, shared_dir):
     assert found[3000] == [("email", 9, 22)]
 
 
+def test_private_token_without_adjacent_digits(spark, shared_dir):
+    rows = [(i, f"token = {i:032x}".replace("0000", "a0b1") + " end") for i in range(1, 6)]
+    rows += [(10, "token = K7M2P9Q4 end"), (11, "token = a1b2c3d4 end"), (12, "token = a1b2c3d end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in private.find_private(docs).collect()}
+    assert found[10] == found[11] == [("secret", 8, 16)] and not found[12]
+
+
 def test_private_spans(spark, shared_dir, nothing):
     rows = private_rows()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
