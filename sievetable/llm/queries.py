@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -9,7 +10,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetable.llm import bpe, chat, decontaminate, licenses, minhash, pages, private, rules, suffixes, toxicity
+from sievetable.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    licenses,
+    minhash,
+    pages,
+    periods,
+    phrases,
+    private,
+    rules,
+    suffixes,
+    toxicity,
+)
 from sievetable.llm.shared import table
 
 
@@ -182,6 +196,80 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document by its id's hash, with a part of them repeated to the end.
+
+    A document without an id stays as it is.
+    """
+    n = len(words)
+    if doc_id is None or doc_id != doc_id or not n:
+        return words
+    h = zlib.crc32(str(int(doc_id)).encode())
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + i % p] for i in range(n - a))]
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in all documents."""
+    found = periods.find_runs(table(spark, folder, "documents"), prepare=looped)
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = F.col("longest.n"), -F.col("longest.p")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of each language, from all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+    FROM documents, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\\x0A-\\x0D]')) u(piece)
+), counted AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+    FROM pieces, unnest([1, 2, 3]) v(m), unnest(range(1, len(w) - m + 2)) u(i) GROUP BY ALL
+), candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1 AND f >= 10
+), keyed AS (SELECT lang || ' ' || phrase AS key, f FROM counted
+), cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:m], ' ') AS two
+    FROM candidates, unnest(range(1, m)) u(k)
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f * y.f) AS score
+    FROM cuts c JOIN keyed x ON x.key = c.lang || ' ' || c.one JOIN keyed y ON y.key = c.lang || ' ' || c.two
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+    SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest
+    FROM candidates, unnest([1, 2]) u(i) WHERE m = 3 GROUP BY ALL
+), totals AS (SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang
+), ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+    FROM weakest s LEFT JOIN inner_phrases i USING (lang, phrase) WHERE i.longest IS NULL OR 100 * i.longest < 50 * s.a
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline; binary ids are left out, their digest stays."""
     return corpus_pipeline.run(spark, folder).drop("ids")
@@ -198,9 +286,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_periods": op12_periods,
+    "op13_phrases": op13_phrases,
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_rules": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_rules": OP6_SQL, "op13_phrases": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
