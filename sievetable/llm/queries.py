@@ -15,6 +15,7 @@ from sievetable.llm import (
     chat,
     decontaminate,
     licenses,
+    metric,
     minhash,
     pages,
     periods,
@@ -196,6 +197,11 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents by an exact Jaccard join."""
+    return metric.jaccard_components(table(spark, folder, "documents")).drop("text_hash")
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of every tenth document by its id's hash, with a part of them repeated to the end.
 
@@ -286,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_metric_join": op11_metric_join,
     "op12_periods": op12_periods,
     "op13_phrases": op13_phrases,
     "pipeline": pipeline,
