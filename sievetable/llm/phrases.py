@@ -199,7 +199,8 @@ def second_pass(texts: DataFrame, bitmap: bytes, map_bits: int) -> DataFrame:
                 _, first, n = np.unique(hashes[there], return_index=True, return_counts=True)
                 starts = places[there][first].tolist()
                 phrases = [b" ".join(words[i : i + size]).decode("utf-8") for i in starts]
-                yield pd.DataFrame({"lang": lang, "phrase": phrases, "size": size, "n": n})
+                if phrases:
+                    yield pd.DataFrame({"lang": [lang] * len(phrases), "phrase": phrases, "size": size, "n": n})
 
     found = texts.mapInPandas(run, "lang string, phrase string, size int, n bigint")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
