@@ -7,9 +7,10 @@ far apart if the two differ by more than the wanted distance.
 Between unrelated texts every distance is one, and no window of distances separates
 them: pivots alone would copy nearly all classes into all regions. So the space is cut
 by rare shingles first. Shingles are ordered by how common they are, and a set's prefix
-is so long that two linked sets share a shingle of it. The classes that hold a shingle in
-their prefix meet its pivot, the smallest class among them, and all classes that meet a
-pivot are its region. Every link lies in a region; a class on a border is in several.
+is so long that two linked sets share ``SHARED`` shingles of it. A class that shares fewer
+with all others together has no link. The classes that hold a shingle in their prefix meet
+its pivot, the smallest class among them, and all classes that meet a pivot are its
+region. Every link lies in a region; a class on a border is in several.
 
 A region that fits into a task is joined there, recursively: the pivot's links are
 confirmed, and what lies beyond, with the classes whose distance to the pivot is within
@@ -43,6 +44,9 @@ MOST_COMMON = 1 << 18
 BLOCK_SHINGLES = 4_000_000
 #: Classes of a region that one task joins.
 CELL = 1024
+#: Linked sets share so many shingles of their prefixes, or as many as they can.
+SHARED = 8
+PEELINGS = 2
 ROUNDS = 4
 #: Above the rounding of a distance; windows are this much wider.
 SLACK = 1e-9
@@ -94,12 +98,20 @@ def common_shingles(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarr
 
 
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity_pct: int) -> np.ndarray:
-    """The first shingles of a set in the order: two linked sets share one of them."""
+    """The first shingles of a set in the order: two linked sets share ``SHARED`` of them."""
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
     needed = -(-similarity_pct * len(found) // 100)
-    return found[: len(found) - needed + 1]
+    return found[: len(found) - needed + min(SHARED, needed)]
+
+
+def shared_least(n: Column, similarity_pct: int) -> Column:
+    """Prefix shingles that a set of ``n`` has in common with any set it is linked with.
+
+    The other set may have fewer shingles, and so a lower bound of its own.
+    """
+    return F.least(F.lit(SHARED), F.ceil(n * (similarity_pct * similarity_pct) / 10_000))
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity_pct: int) -> DataFrame:
@@ -147,7 +159,8 @@ def region_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     ids = wanted.select("cls", "set", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
     text = keyed(docs, id_col, text_col)
     rows = text.join(ids, text["id"].eqNullSafe(F.col("__id")) & (text["text_hash"] == F.col("__hash")))
-    return rows.select("cls", "set", "text").mapInPandas(run, "cls bigint, n bigint, shingles binary").dropDuplicates(["cls"])
+    one = rows.select("cls", "set", "text").dropDuplicates(["cls"])
+    return one.mapInPandas(run, "cls bigint, n bigint, shingles binary")
 
 
 def region_links(names: list[int], sets: list[np.ndarray], similarity_pct: int) -> list[tuple[int, int]]:
@@ -297,6 +310,33 @@ def links(regions: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFrame
     return out
 
 
+def first_regions(classes: DataFrame, similarity_pct: int) -> DataFrame:
+    """(region, cls): the classes that meet a pivot, from the prefixes of (cls, n, prefix).
+
+    A class has many entries and each shingle one of them, so a shingle's share of all
+    entries is small, whatever its share of the classes.
+    """
+    least = shared_least(F.col("n"), similarity_pct)
+    entries = classes.select("cls", "n", least.alias("least"), F.explode("prefix").alias("shingle")).repartition("shingle")
+    for number in range(PEELINGS + 1):
+        cells = entries.groupBy("shingle").agg(F.min("cls").alias("region"), F.max("cls").alias("last"))
+        cells = cells.where(F.col("region") < F.col("last")).select("shingle", "region")
+        entries = written(entries.join(cells, "shingle"), "entries")
+        if number < PEELINGS:
+            few = entries.groupBy("cls").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
+            few = few.where(F.col("shared") < F.col("least")).select("cls")
+            entries = entries.join(few, "cls", "left_anti").drop("region")
+    met = entries.groupBy("region", "cls").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("least").alias("least"))
+    met = written(met, "met")
+    # Two that only meet each other are compared nowhere else, so their own figures decide.
+    pairs = met.groupBy("region").agg(
+        F.count("*").alias("size"), F.min("shared").alias("shared"), F.max("least").alias("least"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    linkable = (F.col("shared") >= F.col("least")) & (100 * F.col("low") >= similarity_pct * F.col("high"))
+    kept = pairs.where((F.col("size") > 2) | linkable).select("region")
+    return met.join(kept, "region", "left_semi").select("region", "cls")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity_pct: int = 80
 ) -> DataFrame:
@@ -305,14 +345,16 @@ def jaccard_components(
     classes = (
         rows.where("set IS NOT NULL")
         .groupBy("set")
-        .agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("one"), F.first("prefix").alias("prefix"))
-        .select("set", "least", "one.id", "one.text_hash", "prefix")
+        .agg(
+            F.min("id").alias("least"),
+            F.min(F.struct("id", "text_hash")).alias("one"),
+            F.first("n_shingles").alias("n"),
+            F.first("prefix").alias("prefix"),
+        )
+        .select("set", "least", "one.id", "one.text_hash", "n", "prefix")
     )
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("cls", F.explode("prefix").alias("shingle"))
-    cells = entries.groupBy("shingle").agg(F.min("cls").alias("region"), F.max("cls").alias("last"))
-    cells = cells.where(F.col("region") < F.col("last")).select("shingle", "region")
-    regions = written(entries.join(cells, "shingle").select("region", "cls").distinct(), "regions")
+    regions = written(first_regions(classes, similarity_pct), "regions")
     wanted = classes.join(regions.select("cls").distinct(), "cls", "left_semi").select("cls", "set", "id", "text_hash")
     sets = written(region_sets(docs, wanted, id_col, text_col, size), "sets")
     roots = components(written(links(regions, sets, similarity_pct), "links"))

@@ -198,3 +198,18 @@ def test_summaries_keep_every_frequent_key():
 def test_phrases_of_nothing(nothing):
     assert phrases.collocations(nothing).count() == 0
     assert metric.jaccard_components(nothing).count() == 0
+
+
+def test_peeling_keeps_links_at_every_size(spark, shared_dir):
+    rng = random.Random(8)
+    rows = []
+    for base in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):
+            cut = rng.randrange(len(words) // 4 + 1)
+            rows.append((len(rows), " ".join(words[cut:] if rng.random() < 0.5 else words[: len(words) - cut])))
+        rows.append((len(rows), " ".join(words[:6])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in metric.jaccard_components(docs).collect()}
+    assert [got[i] for i, _ in rows] == brute.near_components(rows, 5, 80)
