@@ -48,6 +48,8 @@ CELL = 1024
 SHARED = 8
 PEELINGS = 2
 ROUNDS = 4
+#: Sets of pivots are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 #: Above the rounding of a distance; windows are this much wider.
 SLACK = 1e-9
 
@@ -249,6 +251,10 @@ def pivot_distances(members: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = sets.select(
         F.col("cls").alias("region"), F.col("n").alias("pivot_n"), F.col("shingles").alias("pivot_shingles")
     )
+    pivots = pivots.join(members.select("region").distinct(), "region", "left_semi")
+    size = pivots.agg(F.sum(F.octet_length("pivot_shingles"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else the sets are shuffled once more, by region
+        pivots = F.broadcast(pivots)
     both = members.join(sets, "cls").join(pivots, "region")
     found = both.select("region", "cls", "n", "pivot_n", "shingles", "pivot_shingles").mapInPandas(
         run, "region bigint, cls bigint, n bigint, pivot_n bigint, common bigint"
@@ -316,17 +322,17 @@ def first_regions(classes: DataFrame, similarity_pct: int) -> DataFrame:
     A class has many entries and each shingle one of them, so a shingle's share of all
     entries is small, whatever its share of the classes.
     """
-    least = shared_least(F.col("n"), similarity_pct)
-    entries = classes.select("cls", "n", least.alias("least"), F.explode("prefix").alias("shingle")).repartition("shingle")
+    sizes = classes.select("cls", "n", shared_least(F.col("n"), similarity_pct).alias("least"))
+    entries = classes.select("cls", F.explode("prefix").alias("shingle")).repartition("shingle")
     for number in range(PEELINGS + 1):
         cells = entries.groupBy("shingle").agg(F.min("cls").alias("region"), F.max("cls").alias("last"))
         cells = cells.where(F.col("region") < F.col("last")).select("shingle", "region")
         entries = written(entries.join(cells, "shingle"), "entries")
         if number < PEELINGS:
-            few = entries.groupBy("cls").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
-            few = few.where(F.col("shared") < F.col("least")).select("cls")
+            shared = entries.groupBy("cls").agg(F.count("*").alias("shared"))
+            few = shared.join(sizes, "cls").where(F.col("shared") < F.col("least")).select("cls")
             entries = entries.join(few, "cls", "left_anti").drop("region")
-    met = entries.groupBy("region", "cls").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("least").alias("least"))
+    met = entries.groupBy("region", "cls").agg(F.count("*").alias("shared")).join(sizes, "cls")
     met = written(met, "met")
     # Two that only meet each other are compared nowhere else, so their own figures decide.
     pairs = met.groupBy("region").agg(

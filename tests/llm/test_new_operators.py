@@ -16,8 +16,9 @@ from tests.llm.conftest import changed, hard_rows, text
 ROWS = [(i, t) for i, t, _ in hard_rows()]
 
 
-@pytest.mark.parametrize("cell, rounds, common", [(1024, 4, 1 << 18), (4, 1, 8), (2, 3, 0)])
-def test_jaccard_components(hard, monkeypatch, cell, rounds, common):
+@pytest.mark.parametrize("cell, rounds, common, size", [(1024, 4, 1 << 18, 1 << 20), (4, 1, 8, 1 << 20), (2, 3, 0, 0)])
+def test_jaccard_components(hard, monkeypatch, cell, rounds, common, size):
+    monkeypatch.setattr(metric, "BROADCAST_BYTES", size)
     monkeypatch.setattr(metric, "CELL", cell)
     monkeypatch.setattr(metric, "ROUNDS", rounds)
     monkeypatch.setattr(metric, "MOST_COMMON", common)
