@@ -17,7 +17,9 @@ confirmed, and what lies beyond, with the classes whose distance to the pivot is
 the window of what lies beyond, is a region with a new pivot. A larger region takes the
 same step as a Spark join, one pivot for each region and round; what is still too large
 after ``ROUNDS`` is cut into ranges of distance to its pivot, and pairs of blocks from
-neighbouring ranges are joined. Nothing is dropped at any size.
+neighbouring ranges are joined. Nothing is dropped at any size. At first each class is
+joined in its home alone, the largest of its regions, so that its set is sent once; the
+regions whose classes are in one component by then are done, the others are joined whole.
 
 How common a shingle is only sets the order, so it may be known in part: blocks of rows
 report the shingles they hold more than once, which are all that occur more often than
@@ -343,6 +345,20 @@ def first_regions(classes: DataFrame, similarity_pct: int) -> DataFrame:
     return met.join(kept, "region", "left_semi").select("region", "cls")
 
 
+def homes(regions: DataFrame) -> DataFrame:
+    """(region, cls): each class in the largest of its regions."""
+    sizes = regions.groupBy("region").agg(F.count("*").alias("size"))
+    largest = F.max(F.struct("size", "region")).alias("home")
+    return written(regions.join(sizes, "region").groupBy("cls").agg(largest).select("home.region", "cls"), "homes")
+
+
+def open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """The regions that hold several components."""
+    labelled = regions.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ends = labelled.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return written(regions.join(ends.where("low < high").select("region"), "region", "left_semi"), "open")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity_pct: int = 80
 ) -> DataFrame:
@@ -363,7 +379,10 @@ def jaccard_components(
     regions = written(first_regions(classes, similarity_pct), "regions")
     wanted = classes.join(regions.select("cls").distinct(), "cls", "left_semi").select("cls", "set", "id", "text_hash")
     sets = written(region_sets(docs, wanted, id_col, text_col, size), "sets")
-    roots = components(written(links(regions, sets, similarity_pct), "links"))
+    at_home = written(links(homes(regions), sets, similarity_pct), "links")
+    first = written(components(at_home), "components")
+    across = links(open_regions(regions, first), sets, similarity_pct)
+    roots = components(written(at_home.unionAll(across), "links"))
     labels = classes.select("cls", "set", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     labels = labels.withColumn("root", F.coalesce("root", "cls"))
     smallest = labels.groupBy("root").agg(F.min("least").alias("component_id"))
