@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievetable.errors import DataError
 from sievetable.operators import cube, export, lineage, quality, selection, snapshot
 from sievetable.plans import bounded, paths
+from sievetable.plans.staged import kept
 from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, tables
 from workload.files import scratch
 from workload.quality import _GROUPED
@@ -71,6 +72,29 @@ def csv_multiline_validate(spark, sf_dir):
     return found.withColumn("records", records)
 
 
+@query(
+    "csv_multiline_splits",
+    """SELECT doc_id, sha256(text) AS digest, row_number() OVER (ORDER BY doc_id) AS number, true AS many_splits FROM documents""",
+)
+def csv_multiline_splits(spark, sf_dir):
+    """One file whose quoted texts go over the borders of many splits, cut into its records."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+    path = scratch(spark)
+    export.write_table(documents.coalesce(1), path, "csv")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        splits = spark.read.text(path).rdd.getNumPartitions()
+        found = kept(delimited.data_records(spark, path, ",", "UTF-8"), "records")
+    finally:
+        spark.conf.set(setting, before)
+    cells = delimited.parsed_records(found, documents.schema, ",", "FAILFAST")
+    return cells.select(
+        "doc_id", F.sha2("text", 256).alias("digest"), "number", F.lit(splits > 1).alias("many_splits")
+    )
+
+
 @query("csv_relaxed_rows", "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer")
 def csv_relaxed_rows(spark, sf_dir):
     """Relaxed reading: missing cells are null, cells beyond the header are dropped."""
