@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievetable.operators.export import FORMATS, spreadsheet_risks, write_table
+from sievetable.sources import ranges
 
 SHA256_TEXT = r"\A[a-f\d]{64}\z"
 _TRANSFORMATION = T.StructType(
@@ -33,16 +34,8 @@ RECORD_SCHEMA = T.StructType(
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(path)
-    )
-    return files.select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    """(path, bytes, sha256) of every file below a folder, read in pieces."""
+    return ranges.read_digests(ranges.listed(spark, path, pattern))
 
 
 def table_digest(files: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Format and dialect evidence for a corpus of files: one row in, one row out.
 
-Input rows have ``path`` and ``content``, and may have ``media_type``,
-``declared`` and ``cut`` (the content is only the start of the file). Evidence is
-column expressions over the first 64 KiB.
+Input rows have ``path`` and ``content``, and may have ``media_type`` and
+``declared``. The content is a whole file, or its first and last 64 KiB. Evidence is
+column expressions over these edges, alike at every size.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_BYTES = 64 * 1024
-# Larger files are never held whole: their first lines are read as text.
-WHOLE_BYTES = 64 * 1024 * 1024
-HEAD_LINES = 4096
+from sievetable.sources import ranges
+
+SAMPLE_BYTES = ranges.EDGE_BYTES
 
 # Formats by extension and by media type.
 EXTENSIONS = {
@@ -74,41 +73,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, bytes, cut) of every non-empty file, content enough to detect it.
-
-    Files up to ``WHOLE_BYTES`` come whole. Of larger ones the lines at the start
-    of the first split are gathered, at most 64 KiB of them; a file's size is no
-    limit, and each task holds one file's head.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    whole = found.filter((F.col("length") > 0) & (F.col("length") <= WHOLE_BYTES)).select(
-        "path", "content", F.col("length").alias("bytes"), F.lit(False).alias("cut")
-    )
-    # Both filters are on file facts, so small files are not opened here.
-    if found.filter(F.col("length") > WHOLE_BYTES).select("path").isEmpty():
-        return whole
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    first = (
-        lines.filter(F.col("_metadata.file_size") > WHOLE_BYTES)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_size").alias("bytes"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("value"),
-        )
-        .withColumn("place", place)
-        .filter((F.col("block") == 0) & (F.col("place") < HEAD_LINES))
-        .select("path", "bytes", "place", F.substring("value", 1, SAMPLE_BYTES + 1).alias("value"))
-    )
-    heads = first.groupBy("path", "bytes").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n"
-        ).alias("text")
-    )
-    return whole.unionByName(
-        heads.select("path", F.encode("text", "UTF-8").alias("content"), "bytes", F.lit(True).alias("cut"))
-    )
+    """(path, bytes, content) of every non-empty file: its first and last 64 KiB."""
+    return ranges.read_edges(ranges.listed(spark, path).filter("length > 0"))
 
 
 def extension(path: Column) -> Column:
@@ -261,8 +227,6 @@ def detect(files: DataFrame) -> DataFrame:
     for name in ("media_type", "declared"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
-    if "cut" not in files.columns:
-        files = files.withColumn("cut", F.lit(False))
     content = F.col("content")
     media = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
     declared = F.regexp_replace(F.lower(F.trim("declared")), r"\A\.", "")
@@ -281,7 +245,7 @@ def detect(files: DataFrame) -> DataFrame:
     fallback = F.when(by_extension.isin("json", "ndjson"), by_extension)
     evidence = evidence.withColumns(
         {
-            "_structured": structured_content(F.col("_text"), fallback, F.col("cut") | F.col("_longer")),
+            "_structured": structured_content(F.col("_text"), fallback, F.col("_longer")),
             "_by_extension": by_extension,
         }
     )
@@ -315,7 +279,7 @@ def detect(files: DataFrame) -> DataFrame:
     by_text = F.col("found.format").isin("csv", "tsv", "json", "ndjson", "xml") & F.col(
         "found.confidence"
     ).isin("media-type", "content")
-    extra = [c for c in files.columns if c not in ("content", "media_type", "declared", "cut")]
+    extra = [c for c in files.columns if c not in ("content", "media_type", "declared")]
     header = F.regexp_extract("_text", r"\A([^\r\n]*)", 1)
     return evidence.withColumn("found", found).select(
         *extra,

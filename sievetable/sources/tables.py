@@ -52,12 +52,20 @@ def detect_files(
 def detect_path(
     spark: SparkSession, path: str, *, media_type: str | None = None, declared: str | None = None
 ) -> Row:
-    """format, confidence, encoding, delimiter and first file of a path whose files are alike."""
+    """format, confidence, encoding, delimiter and first file of a path whose files are alike.
+
+    ``mismatched`` counts the files whose extension names the other delimiter.
+    """
     found = detect_files(spark, path, media_type=media_type, declared=declared)
     rules = ["format", "encoding", "delimiter", "header"]
     first = F.min(F.struct("path", "extension", "confidence", "bytes")).alias("first")
     # Two kinds are enough to refuse, so the driver sees three rows at most.
-    kinds = found.groupBy(*rules).agg(first).select(*rules, "first.*").orderBy("path").limit(3).collect()
+    other = ((F.col("extension") == "csv") & (F.col("format") == "tsv")) | (
+        (F.col("extension") == "tsv") & (F.col("format") == "csv")
+    )
+    mismatched = F.count_if(other).alias("mismatched")
+    grouped = found.groupBy(*rules).agg(first, mismatched).select(*rules, "mismatched", "first.*")
+    kinds = grouped.orderBy("path").limit(3).collect()
     if not kinds:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         if files.select("path").isEmpty():
@@ -245,12 +253,11 @@ def validate_path(
 ) -> DataFrame:
     """All issues of a path: of its files, its structure and its rows."""
     found = detect_path(spark, path)
-    extension = found.extension
-    mismatch = (extension, found.format) in (("csv", "tsv"), ("tsv", "csv"))
     extra = []
-    if mismatch:
+    if found.mismatched:
         name = F.lit(found.format.upper())
-        extra.append(spark.range(1).select(*quality.issue("DELIMITER_MISMATCH", arguments=[name])))
+        told = quality.issue("DELIMITER_MISMATCH", arguments=[name], occurrences=F.lit(found.mismatched))
+        extra.append(spark.range(1).select(*told))
     if found.format in ("csv", "tsv"):
         delimiter = found.delimiter or ("," if found.format == "csv" else "\t")
         issues = delimited.validate_delimited(

@@ -6,6 +6,12 @@ session's checkpoint folder.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +19,7 @@ from sievetable.errors import DataError
 from sievetable.operators import cube, export, lineage, quality, selection, snapshot
 from sievetable.plans import bounded, paths
 from sievetable.plans.staged import kept
-from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, tables
+from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, ranges, tables
 from workload.files import scratch
 from workload.quality import _GROUPED
 from workload.registry import query
@@ -51,6 +57,45 @@ def detect_corpus_large(spark, sf_dir):
     return found.groupBy("format").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "detect_corpus_edges",
+    """WITH g AS (SELECT DISTINCT doc_id // 500 AS g FROM documents)
+SELECT format, confidence, encoding, (SELECT count(*) FROM g) AS files, (SELECT count(*) FROM g) AS digests
+FROM (VALUES ('csv', 'content', 'utf-16le'), ('parquet', 'signature', NULL), ('xlsx', 'signature', NULL)) f(format, confidence, encoding)""",
+)
+def detect_corpus_edges(spark, sf_dir):
+    """Files that their first or last bytes tell: UTF-16, Parquet without an extension, workbooks."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", "text", "n_chars")
+    root = scratch(spark)
+
+    def written(frame: pd.DataFrame) -> pd.DataFrame:
+        part = frame["part"].iloc[0]
+        lines = [f"{i};{n}" for i, n in zip(frame["doc_id"], frame["n_chars"])]
+        book = io.BytesIO()
+        with zipfile.ZipFile(book, "w") as archive:
+            for at, text in enumerate(frame["text"]):
+                archive.writestr(f"xl/media/{at}.txt", text)
+            archive.writestr("[Content_Types].xml", "<Types/>")
+            archive.writestr("xl/workbook.xml", "<workbook/>")
+        columns = io.BytesIO()
+        pq.write_table(pa.table({"text": list(frame["text"])}), columns, compression="none")
+        files = {
+            f"{part}-wide.txt": b"\xff\xfe" + "\r\n".join(["id;n", *lines]).encode("utf-16-le"),
+            f"{part}-columns": columns.getvalue(),
+            f"{part}-book": book.getvalue(),
+        }
+        return pd.DataFrame({"name": list(files), "content": list(files.values())})
+
+    made = rows.groupBy("part").applyInPandas(written, "name string, content binary")
+    ranges.write_files(spark, made, root)
+    files = ranges.listed(spark, root)
+    found = inventory.detect(inventory.read_heads(spark, root)).groupBy("format", "confidence", "encoding")
+    digests = lineage.file_digests(spark, root).join(files.select("path", F.sha2("content", 256).alias("sha256")), ["path", "sha256"])
+    return found.agg(F.count(F.lit(1)).alias("files")).withColumn(
+        "digests", F.floor(digests.agg(F.count(F.lit(1))).scalar() / 3)
+    )
+
+
 @query("csv_multiline_roundtrip", "SELECT doc_id, sha256(text) AS digest, lang, source FROM documents")
 def csv_multiline_roundtrip(spark, sf_dir):
     """Texts with line breaks come back from delimited files as they were."""
