@@ -59,7 +59,7 @@ def _key(order: Sequence[Column]) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
 
 
-def _range_of(key: Column, edges: list, key_type: T.DataType) -> Column:
+def range_of(key: Column, edges: list, key_type: T.DataType) -> Column:
     """Number of edges at or below ``key``, by binary search in the plan."""
     if not edges:
         return F.lit(0)
@@ -112,7 +112,7 @@ def running_total(
     key_type = keyed.schema["_key"].dataType
     source, source_order = sample or (df, order)
     edges = sampled_edges(source, _key(source_order), ranges)
-    ranged = keyed.withColumn("_range", _range_of(F.col("_key"), edges, key_type))
+    ranged = keyed.withColumn("_range", range_of(F.col("_key"), edges, key_type))
 
     # At most len(edges) + 1 rows reach this un-partitioned window.
     sizes = ranged.groupBy("_range").agg(F.sum("_weight").alias("_size"))
@@ -175,8 +175,10 @@ def expand_counts(
     """One row per copy, ``index`` running from 0 to ``count`` - 1.
 
     A count above ``chunk`` is first cut into pieces that are spread over the
-    tasks, so one huge group is never expanded by one task.
+    tasks, so one huge group is never expanded by one task. Their number is given,
+    as adaptive execution would join the tasks by the few bytes of the pieces.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.col(count)
     small = df.filter(size <= chunk).withColumn(
         index, F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1))
@@ -186,7 +188,7 @@ def expand_counts(
     large = (
         df.filter(size > chunk)
         .withColumn("_piece", F.explode(pieces))
-        .repartition(F.col("_piece"), size)
+        .repartition(partitions, F.col("_piece"), size)
         .withColumn(index, F.explode(F.sequence(low, F.least(low + chunk, size.cast("bigint")) - 1)))
         .drop("_piece")
     )

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievetable.functions import cells
-from sievetable.operators.ordering import running_total
+from sievetable.operators.ordering import (
+    expand_counts,
+    range_count,
+    range_of,
+    running_total,
+    sampled_edges,
+    with_previous,
+    with_row_numbers,
+)
+from sievetable.plans.staged import kept
+
+# So many values are sorted at last when ranks are looked for.
+SELECTION_ROWS = 200_000
+SELECTION_ROUNDS = 6
 
 
 def completeness(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -48,20 +62,43 @@ def period_change(
 ) -> DataFrame:
     """Total per period, with the change from the period before it in the data.
 
-    Rows are reduced to one per group and period before the window.
+    Rows are reduced to one per group and period first. Without groups the periods are
+    numbered in ranges, so that no task holds all of them.
     """
     totals = df.groupBy(*by, period.alias("period")).agg(measure.alias("amount"))
-    previous = F.lag("amount").over(Window.partitionBy(*by).orderBy("period"))
-    moved = totals.withColumn("previous", previous)
+    if by:
+        previous = F.lag("amount").over(Window.partitionBy(*by).orderBy("period"))
+        moved = totals.withColumn("previous", previous)
+    else:
+        numbered = with_row_numbers(kept(totals, "totals"), ["period"], row="place")
+        moved = with_previous(numbered, "place", ["amount"]).drop("place")
+        moved = moved.withColumnRenamed("previous_amount", "previous")
     return moved.withColumn("change", F.col("amount") - F.col("previous"))
 
 
 def missing_periods(df: DataFrame, ordinal: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Period ordinals absent between a group's first and last."""
-    seen = df.select(*by, ordinal.cast("bigint").alias("ordinal")).distinct()
-    bounds = seen.groupBy(*by).agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
-    expected = bounds.select(*by, F.explode(F.sequence("lo", "hi")).alias("ordinal"))
-    return expected.join(seen, [*by, "ordinal"], "left_anti")
+    """Period ordinals absent between a group's first and last.
+
+    Each period looks at the one before it, in ranges of periods whose last row is carried
+    over to the next range. A gap is an interval, and is cut into pieces that are spread
+    over the tasks before it is expanded.
+    """
+    gaps = period_gaps(df, ordinal, by)
+    return expand_counts(gaps, "periods", index="step").select(
+        *by, (F.col("first") + F.col("step")).alias("ordinal")
+    )
+
+
+def period_gaps(df: DataFrame, ordinal: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Intervals of absent periods between a group's first and last: first, periods."""
+    seen = kept(df.select(*by, ordinal.cast("bigint").alias("ordinal")).filter("ordinal IS NOT NULL").distinct(), "periods")
+    numbered = with_row_numbers(seen, [*by, "ordinal"], row="place")
+    behind = with_previous(numbered, "place", ["ordinal"], within=by)
+    return behind.select(
+        *by,
+        (F.col("previous_ordinal") + 1).alias("first"),
+        (F.col("ordinal") - F.col("previous_ordinal") - 1).alias("periods"),
+    ).filter("periods > 0")
 
 
 def histogram(df: DataFrame, value: str, low: float, width: float, bins: int) -> DataFrame:
@@ -74,28 +111,45 @@ def histogram(df: DataFrame, value: str, low: float, width: float, bins: int) ->
 def quantile_table(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     """Exact quantiles (the smallest value at or above each share of the rows).
 
-    Equal values are counted first; ranks come from a distributed running
-    total, so no task holds all values.
+    Values are counted in sampled ranges, and only ranges that hold a wanted rank are
+    looked at again, until few values are left to sort. The driver gets one count for
+    each range.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("copies"))
-    )
-    placed = running_total(
-        counted, [value], F.col("copies"), before="before", sample=(df, [F.col(value)])
-    )
-    total = df.agg(F.count(F.col(value)).alias("n")).scalar()
-
-    def answered(share: Column) -> Column:
-        rank = F.greatest(F.lit(1), F.ceil(share * F.col("total")))
-        return (rank > F.col("before")) & (rank <= F.col("before") + F.col("copies"))
-
-    listed = F.filter(F.array(*[F.lit(s) for s in shares]), answered)
-    return (
-        placed.withColumn("total", total)
-        .withColumn("shares", listed)
-        .filter(F.size("shares") > 0)
-        .select(F.explode("shares").alias("share"), F.col(value).alias("quantile"))
+    rows = df.filter(F.col(value).isNotNull()).select(
+        F.col(value).alias("v"), F.lit(0).cast("bigint").alias("before")
     )
+    left = total = rows.count()
+    ranks = {share: max(1, math.ceil(share * total)) for share in shares}
+    for _ in range(SELECTION_ROUNDS):
+        if left <= SELECTION_ROWS:
+            break
+        key = F.struct(F.col("v").alias("k0"))
+        key_type = rows.select(key.alias("k")).schema["k"].dataType
+        edges = sampled_edges(rows, key, range_count(rows, left))
+        ranged = rows.withColumn("range", range_of(key, edges, key_type))
+        counts = ranged.groupBy("before", "range").agg(F.count(F.lit(1)).alias("n")).collect()
+        wanted, low, last = [], 0, None
+        for row in sorted(counts):
+            low = row.before if row.before != last else low
+            last = row.before
+            if any(low < rank <= low + row.n for rank in ranks.values()):
+                wanted.append((row.before, row.range, low, row.n))
+            low += row.n
+        found = sum(n for *_, n in wanted)
+        if found == left:
+            break
+        place = F.lit(None).cast("bigint")
+        for before, number, low, _ in wanted:
+            place = F.when((F.col("before") == before) & (F.col("range") == number), F.lit(low)).otherwise(place)
+        rows = ranged.select("v", place.cast("bigint").alias("before")).filter("before IS NOT NULL")
+        left = found
+    counted = rows.groupBy("before", "v").agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy("before").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = F.col("before") + F.coalesce(F.sum("copies").over(order), F.lit(0))
+    listed = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(r).cast("bigint").alias("rank")) for s, r in ranks.items()])
+    placed = counted.withColumn("low", up_to).withColumn("share", F.explode(listed))
+    held = (F.col("share.rank") > F.col("low")) & (F.col("share.rank") <= F.col("low") + F.col("copies"))
+    return placed.filter(held).select("share.share", F.col("v").alias("quantile"))
 
 
 def heat_map(df: DataFrame, row: str, column: str, columns: Sequence[str]) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievetable.operators.ordering import running_total
+from sievetable.plans.staged import kept
 
 MAX_BROADCAST_PIECES = 200_000
+# So many rows may stand in one window; more are summed in two levels.
+WINDOW_PIECES = 1000
 SMALLEST_SPLIT_BYTES = 4 * 1024 * 1024
 
 
@@ -31,18 +35,21 @@ def number_file_rows(
     """Add row numbers: rows of earlier pieces, plus the place within the piece.
 
     A piece is a file or a split of one. Only one small record per piece is
-    summed in order. Up to 200,000 pieces those records are broadcast and the
-    rows stay where they were read; beyond that the join shuffles.
+    summed in order, beyond a thousand pieces within ranges of them and then over
+    the ranges. Up to 200,000 pieces those records are broadcast and the rows stay
+    where they were read; beyond that the join shuffles.
     """
     names = [f"_p{i}" for i in range(len(piece))]
     tagged = df.withColumns(dict(zip(names, piece, strict=True))).withColumn("_at", place)
     sizes = tagged.groupBy(*names).agg(
         F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_least")
     )
-    earlier = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *names, "_least", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
-    )
+    if pieces <= WINDOW_PIECES:
+        earlier = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    else:
+        offsets = running_total(kept(sizes, "pieces"), names, F.col("_size"), before="_before")
+    offsets = offsets.select(*names, "_least", "_before")
     if pieces <= MAX_BROADCAST_PIECES:
         offsets = F.broadcast(offsets)
     numbered = tagged.join(offsets, names)

@@ -312,6 +312,35 @@ def wb_missing_periods(spark, sf_dir):
     return workbench.missing_periods(joined, day, by=["c_nationkey"])
 
 
+_SPARSE = """SELECT o_orderpriority, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)
+ + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 10000000 END AS ordinal FROM orders"""
+
+
+@query(
+    "wb_missing_periods_sparse",
+    f"""WITH seen AS (SELECT DISTINCT * FROM ({_SPARSE})),
+b AS (SELECT o_orderpriority, min(ordinal)::HUGEINT AS lo, max(ordinal)::HUGEINT AS hi, count(*) AS n, sum(ordinal) AS s FROM seen GROUP BY 1)
+SELECT o_orderpriority, (hi - lo + 1 - n)::BIGINT AS missing, ((lo + hi) * (hi - lo + 1) // 2 - s)::BIGINT AS total FROM b""",
+)
+def wb_missing_periods_sparse(spark, sf_dir):
+    """Days of orders, half of them ten million days later: the gap is expanded in pieces."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.unix_date(F.to_date("o_orderdate")) + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(10_000_000)
+    absent = workbench.missing_periods(orders, day, by=["o_orderpriority"])
+    return absent.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("missing"), F.sum("ordinal").alias("total"))
+
+
+@query(
+    "wb_period_change_all",
+    """WITH t AS (SELECT CAST(o_orderdate AS DATE) AS period, count(*) AS amount FROM orders GROUP BY ALL)
+SELECT *, lag(amount) OVER w AS previous, amount - lag(amount) OVER w AS change FROM t WINDOW w AS (ORDER BY period)""",
+)
+def wb_period_change_all(spark, sf_dir):
+    """Change from day to day over all orders, in ranges of days."""
+    orders = table(spark, sf_dir, "orders")
+    return workbench.period_change(orders, F.to_date("o_orderdate"), F.count(F.lit(1)))
+
+
 @query(
     "wb_histogram",
     """SELECT CAST(greatest(0, least(20, floor((l_extendedprice - 20000) / 5000) + 1)) AS INTEGER) AS bin, count(*) AS rows
