@@ -34,8 +34,10 @@ SIZES = (2, 3)
 PARTITION_MASS, MOST_PART_BITS = 1 << 22, 16
 #: The bitmap of survivors: 128 KiB to 64 MiB.
 LEAST_MAP_BITS, MOST_MAP_BITS = 20, 29
-BATCH_WORDS = 1 << 20
-HELD_WORDS = 500_000
+#: What a task holds: words of a batch, hashes and distinct words before they are summed up.
+BATCH_WORDS = 1 << 17
+HELD_HASHES = 1 << 22
+HELD_WORDS = 100_000
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: A byte that UTF-8 never uses stands between pieces.
 BORDER = b"\xff"
@@ -135,6 +137,7 @@ def first_pass(texts: DataFrame, part_bits: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = {}
+        held: list[np.ndarray] = []
 
         def word_rows() -> pd.DataFrame:
             rows = [(lang, w.decode("utf-8"), n) for lang, c in counts.items() for w, n in c.items()]
@@ -143,17 +146,23 @@ def first_pass(texts: DataFrame, part_bits: int) -> DataFrame:
                 part=None, mass=None, single=None, several=None, times=None
             )
 
+        def sum_rows() -> pd.DataFrame:
+            rows = list(packed(np.concatenate(held or [np.empty(0, np.uint64)]), part_bits))
+            held.clear()
+            return pd.DataFrame(rows, columns=["part", "mass", "single", "several", "times"]).assign(
+                lang=None, word=None, n=None
+            )
+
         for lang, words in batches(frames):
             counts.setdefault(lang, Counter()).update(words)
             counts[lang].pop(BORDER, None)
             if sum(map(len, counts.values())) > HELD_WORDS:
                 yield word_rows()
-            hashes = np.concatenate([phrase_hashes(lang, words, size)[1] for size in SIZES])
-            rows = list(packed(hashes, part_bits))
-            yield pd.DataFrame(rows, columns=["part", "mass", "single", "several", "times"]).assign(
-                lang=None, word=None, n=None
-            )
+            held += [phrase_hashes(lang, words, size)[1] for size in SIZES]
+            if sum(map(len, held)) > HELD_HASHES:
+                yield sum_rows()
         yield word_rows()
+        yield sum_rows()
 
     return texts.mapInPandas(
         run, "part int, mass bigint, single binary, several binary, times binary, lang string, word string, n bigint"

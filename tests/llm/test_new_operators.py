@@ -170,10 +170,12 @@ def slow_phrases(rows: list[tuple], count: int, share: int, most: int) -> list[t
     return sorted(out)
 
 
-@pytest.mark.parametrize("mass, batch, most", [(1 << 22, 1 << 20, 2000), (64, 30, 7)])
+@pytest.mark.parametrize("mass, batch, most", [(1 << 22, 1 << 17, 2000), (64, 30, 7)])
 def test_collocations(spark, shared_dir, monkeypatch, mass, batch, most):
     monkeypatch.setattr(phrases, "PARTITION_MASS", mass)
     monkeypatch.setattr(phrases, "BATCH_WORDS", batch)
+    monkeypatch.setattr(phrases, "HELD_HASHES", 20 * batch)
+    monkeypatch.setattr(phrases, "HELD_WORDS", batch)
     rng = random.Random(5)
     vocabulary = ["New", "York", "city", "the", "of", "a", "élan", "Straße", "x\x0by", "t\tab"]
     rows = [(rng.choice(["en", "de", None]), " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(rng.randrange(60)))) for _ in range(60)]
