@@ -36,7 +36,7 @@ PARTITION_MASS, MOST_PART_BITS = 1 << 22, 16
 LEAST_MAP_BITS, MOST_MAP_BITS = 20, 29
 #: What a task holds: words of a batch, hashes and distinct words before they are summed up.
 BATCH_WORDS = 1 << 17
-HELD_HASHES = 1 << 22
+HELD_HASHES = 1 << 20
 HELD_WORDS = 100_000
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: A byte that UTF-8 never uses stands between pieces.
