@@ -18,8 +18,9 @@ the window of what lies beyond, is a region with a new pivot. A larger region ta
 same step as a Spark join, one pivot for each region and round; what is still too large
 after ``ROUNDS`` is cut into ranges of distance to its pivot, and pairs of blocks from
 neighbouring ranges are joined. Nothing is dropped at any size. At first each class is
-joined in its home alone, the largest of its regions, so that its set is sent once; the
-regions whose classes are in one component by then are done, the others are joined whole.
+joined in its home alone, the largest of its regions, so that its set is sent once. Then
+shingles that one component alone holds are left out, and what is left makes the regions
+that are joined whole.
 
 How common a shingle is only sets the order, so it may be known in part: blocks of rows
 report the shingles they hold more than once, which are all that occur more often than
@@ -318,22 +319,30 @@ def links(regions: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFrame
     return out
 
 
-def first_regions(classes: DataFrame, similarity_pct: int) -> DataFrame:
-    """(region, cls): the classes that meet a pivot, from the prefixes of (cls, n, prefix).
+def peeled(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(region, cls, label, shingle) of entries (cls, label, shingle) that may make a link of two labels.
 
-    A class has many entries and each shingle one of them, so a shingle's share of all
-    entries is small, whatever its share of the classes.
+    A shingle that one label alone holds is left out, and so is a class with fewer shingles
+    left than it has in common with any set it is linked with. A class has many entries and
+    each shingle one of them, so a shingle's share of all entries is small, whatever its
+    share of the classes.
     """
-    sizes = classes.select("cls", "n", shared_least(F.col("n"), similarity_pct).alias("least"))
-    entries = classes.select("cls", F.explode("prefix").alias("shingle")).repartition("shingle")
+    entries = entries.repartition("shingle")
     for number in range(PEELINGS + 1):
-        cells = entries.groupBy("shingle").agg(F.min("cls").alias("region"), F.max("cls").alias("last"))
-        cells = cells.where(F.col("region") < F.col("last")).select("shingle", "region")
+        cells = entries.groupBy("shingle").agg(
+            F.min("cls").alias("region"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        cells = cells.where("low < high").select("shingle", "region")
         entries = written(entries.join(cells, "shingle"), "entries")
         if number < PEELINGS:
             shared = entries.groupBy("cls").agg(F.count("*").alias("shared"))
             few = shared.join(sizes, "cls").where(F.col("shared") < F.col("least")).select("cls")
             entries = entries.join(few, "cls", "left_anti").drop("region")
+    return entries
+
+
+def regions_of(entries: DataFrame, sizes: DataFrame, similarity_pct: int) -> DataFrame:
+    """(region, cls): the classes that meet a pivot in peeled entries."""
     met = entries.groupBy("region", "cls").agg(F.count("*").alias("shared")).join(sizes, "cls")
     met = written(met, "met")
     # Two that only meet each other are compared nowhere else, so their own figures decide.
@@ -342,7 +351,7 @@ def first_regions(classes: DataFrame, similarity_pct: int) -> DataFrame:
     )
     linkable = (F.col("shared") >= F.col("least")) & (100 * F.col("low") >= similarity_pct * F.col("high"))
     kept = pairs.where((F.col("size") > 2) | linkable).select("region")
-    return met.join(kept, "region", "left_semi").select("region", "cls")
+    return written(met.join(kept, "region", "left_semi").select("region", "cls"), "regions")
 
 
 def homes(regions: DataFrame) -> DataFrame:
@@ -352,11 +361,10 @@ def homes(regions: DataFrame) -> DataFrame:
     return written(regions.join(sizes, "region").groupBy("cls").agg(largest).select("home.region", "cls"), "homes")
 
 
-def open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
-    """The regions that hold several components."""
-    labelled = regions.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ends = labelled.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return written(regions.join(ends.where("low < high").select("region"), "region", "left_semi"), "open")
+def open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, label, shingle): entries labelled by the component of their class."""
+    labelled = entries.select("cls", "shingle").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    return labelled.select("cls", F.coalesce("root", "cls").alias("label"), "shingle")
 
 
 def jaccard_components(
@@ -376,12 +384,16 @@ def jaccard_components(
         .select("set", "least", "one.id", "one.text_hash", "n", "prefix")
     )
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    regions = written(first_regions(classes, similarity_pct), "regions")
+    sizes = classes.select("cls", "n", shared_least(F.col("n"), similarity_pct).alias("least"))
+    entries = classes.select("cls", F.col("cls").alias("label"), F.explode("prefix").alias("shingle"))
+    entries = peeled(entries, sizes)
+    regions = regions_of(entries, sizes, similarity_pct)
     wanted = classes.join(regions.select("cls").distinct(), "cls", "left_semi").select("cls", "set", "id", "text_hash")
     sets = written(region_sets(docs, wanted, id_col, text_col, size), "sets")
     at_home = written(links(homes(regions), sets, similarity_pct), "links")
     first = written(components(at_home), "components")
-    across = links(open_regions(regions, first), sets, similarity_pct)
+    still_open = regions_of(peeled(open_entries(entries, first), sizes), sizes, similarity_pct)
+    across = links(still_open, sets, similarity_pct)
     roots = components(written(at_home.unionAll(across), "links"))
     labels = classes.select("cls", "set", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     labels = labels.withColumn("root", F.coalesce("root", "cls"))
