@@ -69,7 +69,7 @@ def test_other_encodings_and_a_quote_that_never_closes(spark, tmp_path, small_sp
     path = tmp_path / "latin.csv"
     path.write_bytes('id;ö\n1;"ä\nü"\n2;ß\n'.encode("latin-1"))
     rows = delimited.read_delimited(spark, str(path), ";", encoding="ISO-8859-1").collect()
-    assert [tuple(r) for r in rows] == [("1", "ä\nü"), ("2", "ß")] and rows[0].__fields__ == ["id", "ö"]
+    assert sorted(map(tuple, rows)) == [("1", "ä\nü"), ("2", "ß")] and rows[0].__fields__ == ["id", "ö"]
     path.write_text('id,t\n1,"open' + "\nmore, lines" * 60)
     found = delimited.data_records(spark, str(path), ",", "UTF-8").collect()
     assert len(found) == 1 and found[0].value.count("\n") == 60
