@@ -9,27 +9,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievetable.errors import DataError
+from sievetable.sources import json_items
+from sievetable.sources.inventory import one_json_value
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     """An array becomes its items, an object one row; a scalar item ``{value}``.
 
-    Files of objects are left to the JSON reader. Only a file with scalar items
-    is read as text.
+    Arrays are read in splits. Files in UTF-16 or UTF-32 are read whole by the JSON reader.
     """
-    table = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    if table.columns != ["_corrupt_record"]:
+    found = json_items.read_items(spark, path)
+    if found.wide:
         return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    whole = spark.read.text(path, wholetext=True)
-    items = whole.select(
-        F.explode(
-            F.coalesce(F.from_json("value", "array<string>"), F.array(F.trim("value")))
-        ).alias("value")
-    )
-    bad = whole.filter(F.try_parse_json("value").isNull())
-    if not bad.isEmpty():
+    fault = found.faults.first()
+    if fault is not None:
+        raise DataError("INVALID_JSON", "The JSON document cannot be parsed.", path=fault.path)
+    value = F.col("value")
+    items = found.items.drop("file", "path", "number")
+    folders = [c for c in items.columns if c != "value"]
+    kinds = items.agg(
+        F.bool_or(value.startswith("{")).alias("objects"), F.bool_and(one_json_value(value)).alias("valid")
+    ).first()
+    if kinds.valid is False:
         raise DataError("INVALID_JSON", "The JSON document cannot be parsed.", path=path)
-    return items
+    if kinds.objects is None:
+        return spark.createDataFrame([], T.StructType([]))
+    if not kinds.objects:
+        listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")
+        return items.select(listed[0].alias("value"), *folders)
+    record = as_record(value)
+    schema = inferred_schema(items.select(record.alias("value")))
+    parsed = F.from_json(record, schema, {"mode": "FAILFAST"})
+    return items.select(F.inline(F.array(parsed)), *folders)
+
+
+def inferred_schema(texts: DataFrame) -> T.StructType:
+    """The schema that the JSON reader finds for a column of objects as text."""
+    spark = texts.sparkSession
+    reader = spark.read.option("columnNameOfCorruptRecord", "_broken")
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return reader._df(reader._jreader.json(strings)).drop("_broken").schema
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

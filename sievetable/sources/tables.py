@@ -11,15 +11,18 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievetable.errors import DataError
 from sievetable.operators import cube, quality
 from sievetable.operators.lineage import convert, file_digests, table_digest
+from sievetable.plans.staged import kept
 from sievetable.sources import (
     cube_files,
     delimited,
     inventory,
     json_docs,
+    json_items,
     positions,
     xml_records,
 )
@@ -192,7 +195,7 @@ def _parse_errors(bad: DataFrame) -> DataFrame:
     )
 
 
-def _validate_texts(spark: SparkSession, numbered: DataFrame, schema: str | None) -> DataFrame:
+def _validate_texts(spark: SparkSession, numbered: DataFrame, schema: StructType | None) -> DataFrame:
     """Issues of numbered JSON texts (row, value): those that cannot be parsed, and the others' rows."""
     bad = numbered.filter(~inventory.one_json_value(F.col("value")))
     errors = _parse_errors(bad.select("row", F.substring("value", 1, 80).alias("detail")))
@@ -209,26 +212,22 @@ def validate_json_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(F.trim("value") != "")
     numbered = positions.number_text_rows(lines).select("row", "value")
     read = spark.read.option("columnNameOfCorruptRecord", "_broken").json(path).drop("_broken")
-    return _validate_texts(spark, numbered, read.schema.simpleString() if read.columns else None)
+    return _validate_texts(spark, numbered, read.schema if read.columns else None)
 
 
 def validate_json_document(spark: SparkSession, path: str) -> DataFrame:
     """Issues of JSON documents, items numbered within each file in its order."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")
-    )
-    valid = inventory.one_json_value(F.col("value"))
-    broken = whole.filter(~valid).select(F.lit(None).cast("bigint").alias("row"), F.substring("value", 1, 80).alias("detail"))
-    items = whole.filter(valid).select(
-        "file",
-        F.posexplode(F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).alias("place", "value"),
-    )
+    found = json_items.read_items(spark, path)
+    invalid = found.items.filter(~inventory.one_json_value(F.col("value"))).select("file")
+    wrong = kept(invalid.unionByName(found.faults.select("file")).distinct(), "json-faults")
+    heads = found.files.join(wrong, "file", "left_semi")
+    broken = heads.select(F.lit(None).cast("bigint").alias("row"), F.substring("head", 1, 80).alias("detail"))
+    items = found.items.join(wrong, "file", "left_anti")
     numbered = positions.number_file_rows(
-        items, [F.col("file")], F.col("place"), pieces=positions.pieces_bound(whole, splits=False)
+        items, [F.col("path")], F.col("number"), pieces=positions.pieces_bound(spark.read.text(path), splits=False)
     ).select("row", "value")
-    reader = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_broken")
-    read = reader.json(path).drop("_broken")
-    rows = _validate_texts(spark, numbered, read.schema.simpleString() if read.columns else None)
+    schema = json_docs.inferred_schema(items.select(json_docs.as_record(F.col("value")).alias("value")))
+    rows = _validate_texts(spark, numbered, schema if len(schema) else None)
     return _parse_errors(broken).unionByName(rows)
 
 
