@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain, count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievetable.errors import DataError
@@ -28,6 +29,9 @@ MAX_DIMENSIONS = 64
 MAX_VALUES_PER_DIMENSION = 1_000_000
 MAX_CELLS = 100_000_000
 RESERVED_NAMES = ("value", "value__symbol")
+# Labels of a cube that one row holds, and labels of a page beyond that.
+LABELS_IN_ROW = 65_536
+PAGE = 1024
 
 
 @dataclass(frozen=True)
@@ -38,27 +42,24 @@ class Binding:
     code: str | None
 
 
+def unused_name(wanted: str, used: set[str]) -> str:
+    """``wanted``, with the first number from 2 that makes it unlike all used names (in lower case)."""
+    numbered = chain([wanted], (f"{wanted}__{n}" for n in count(2)))
+    return next(name for name in numbered if name.lower() not in used)
+
+
 def column_bindings(dimensions: Sequence[tuple[str, bool]]) -> list[Binding]:
-    """Collision-free column names for (dimension name, has codes) pairs.
+    """Column names for (dimension name, has codes) pairs, all different whatever their case.
 
-    Names are compared without case; ``value`` and ``value__symbol`` belong to
-    the cells; a blank name becomes ``dimension``.
+    ``value`` and ``value__symbol`` belong to the cells; a blank name is ``dimension``.
     """
-    taken = set(RESERVED_NAMES)
-
-    def allocate(base: str) -> str:
-        name = base.strip() or "dimension"
-        candidate, suffix = name, 1
-        while candidate.lower() in taken:
-            suffix += 1
-            candidate = f"{name}__{suffix}"
-        taken.add(candidate.lower())
-        return candidate
-
-    bindings = []
-    for name, has_codes in dimensions:
-        label = allocate(name)
-        bindings.append(Binding(label, allocate(f"{label}__code") if has_codes else None))
+    used = set(RESERVED_NAMES)
+    bindings: list[Binding] = []
+    for name, coded in dimensions:
+        label = unused_name(name.strip() or "dimension", used)
+        code = unused_name(f"{label}__code", used | {label.lower()}) if coded else None
+        used.update(c.lower() for c in (label, code) if c is not None)
+        bindings.append(Binding(label, code))
     return bindings
 
 
@@ -123,11 +124,42 @@ def check_dimensions(dimensions: DataFrame) -> DataFrame:
     return wide.unionByName(many)
 
 
-def decode(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
+def layouts(dimensions: DataFrame) -> DataFrame:
+    """One row per cube: sizes and strides of its dimensions, and its cells (null beyond 64 bits)."""
+    counted = dimensions.groupBy("cube", "dimension").agg(F.count(F.lit(1)).alias("size"))
+    entry = F.array_sort(F.collect_list(F.struct("dimension", "size")))
+    sizes = counted.groupBy("cube").agg(F.transform(entry, lambda x: x["size"]).alias("sizes"))
+
+    def product(values: Column) -> Column:
+        return F.aggregate(values, F.lit(1).cast("bigint"), lambda a, x: F.try_multiply(a, x))
+
+    strides = F.transform("sizes", lambda x, i: product(F.slice("sizes", i + 2, F.size("sizes") - i - 1)))
+    return sizes.select("cube", "sizes", strides.alias("strides"), product(F.col("sizes")).alias("expected"))
+
+
+def decode(chunks: DataFrame, dimensions: DataFrame, *, labels_in_row: int = LABELS_IN_ROW) -> DataFrame:
     """One row per cell: cube, index, labels, codes, value, symbol, token.
 
-    Shapes join the chunks, not the cells, and a cube with very many chunks is
-    spread over several tasks.
+    Labels join the chunks, not the cells. All labels of a cube stand in one row where
+    no cube has more than ``labels_in_row``; beyond that a chunk gets its own labels alone.
+    """
+    most = dimensions.groupBy("cube").count().agg(F.max("count")).first()[0] or 0
+    cells = _labelled_by_row(chunks, dimensions) if most <= labels_in_row else _labelled_by_page(chunks, dimensions)
+    return cells.select(
+        "cube",
+        "index",
+        "labels",
+        "codes",
+        cell_value(F.col("token")).alias("value"),
+        cell_symbol(F.col("token")).alias("value__symbol"),
+        "token",
+    )
+
+
+def _labelled_by_row(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """(cube, index, labels, codes, token) from one row of lists per cube.
+
+    A cube with very many chunks is spread over several tasks.
     """
     meta = shapes(dimensions, max_cells=None).select(
         "cube", "sizes", "strides", "labels", "codes", "expected"
@@ -145,15 +177,70 @@ def decode(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
               {pick.format("codes")} AS codes,
               token))"""
     )
-    return placed.select("cube", F.inline(cells)).select(
-        "cube",
-        "index",
-        "labels",
-        "codes",
-        cell_value(F.col("token")).alias("value"),
-        cell_symbol(F.col("token")).alias("value__symbol"),
-        "token",
+    return placed.select("cube", F.inline(cells))
+
+
+def page_requests(spans: DataFrame) -> DataFrame:
+    """(cube, base, dimension, page, turn, low, high): the positions that each chunk needs, by page.
+
+    A chunk's cells run through a stretch of positions of each dimension, which may go on
+    at position 0; that part is turn 1. ``high`` is exclusive.
+    """
+    axes = F.expr(
+        """transform(strides, (s, d) -> named_struct('dimension', d, 'size', sizes[d], 'low', (base DIV s) % sizes[d],
+             'count', least(sizes[d], (base + size(cells) - 1) DIV s - base DIV s + 1)))"""
+    )
+    needed = spans.select("cube", "base", F.inline(axes))
+    turns = F.expr(
+        """filter(array(named_struct('turn', 0, 'low', low, 'high', least(size, low + count)),
+             named_struct('turn', 1, 'low', CAST(0 AS BIGINT), 'high', low + count - size)), x -> x.high > x.low)"""
+    )
+    parts = needed.select("cube", "base", "dimension", F.inline(turns))
+    page = F.explode(F.sequence(F.floor(F.col("low") / PAGE), F.floor((F.col("high") - 1) / PAGE))).alias("page")
+    cut = parts.select("*", page)
+    return cut.withColumns(
+        {
+            "low": F.greatest(F.col("low"), F.col("page") * PAGE),
+            "high": F.least(F.col("high"), (F.col("page") + 1) * PAGE),
+        }
+    )
+
+
+def _labelled_by_page(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """(cube, index, labels, codes, token) with labels as pages of rows.
+
+    A chunk asks for the pages of the positions it runs through, and gets their labels cut
+    to these. A page that very many chunks ask for is spread over several tasks.
+    """
+    values = F.array_sort(F.collect_list(F.struct("position", "label", "code")))
+    place = F.dense_rank().over(Window.partitionBy("cube").orderBy("dimension")) - 1
+    axes = dimensions.select("cube", "dimension").distinct().withColumn("place", place)
+    pages = (
+        dimensions.join(axes, ["cube", "dimension"])
+        .groupBy("cube", F.col("place").alias("dimension"), F.floor(F.col("position") / PAGE).alias("page"))
+        .agg(values.alias("values"))
+    )
+    layout = layouts(dimensions).select("cube", "sizes", "strides", "expected")
+    spans = salted_join(
+        chunks, layout, ["cube"], "expected", hot_weight=10_000_000, spread_by=["base"]
+    ).filter(F.size("cells") > 0)
+    found = salted_join(page_requests(spans), pages, ["cube", "dimension", "page"], spread_by=["base"])
+    own = F.slice("values", (F.col("low") - F.col("page") * PAGE + 1).cast("int"), (F.col("high") - F.col("low")).cast("int"))
+    part = F.struct("dimension", "turn", "page", own.alias("values"))
+    lists = found.groupBy("cube", "base").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    own_lists = F.expr(
+        "transform(strides, (s, d) -> flatten(transform(filter(parts, x -> x.dimension = d), x -> x.values)))"
+    )
+    placed = spans.join(lists, ["cube", "base"]).withColumn("lists", own_lists)
+    at = "CAST((((base + at) DIV s) - (base DIV s)) % sizes[d] AS INT)"
+    cells = F.expr(
+        f"""transform(cells, (token, at) -> struct(
+              base + at AS index,
+              transform(strides, (s, d) -> lists[d][{at}].label) AS labels,
+              transform(strides, (s, d) -> lists[d][{at}].code) AS codes,
+              token))"""
     )
+    return placed.select("cube", F.inline(cells))
 
 
 def to_columns(
@@ -203,7 +290,7 @@ def symbol_issues(cells: DataFrame) -> DataFrame:
 def cell_counts(chunks: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Expected and actual number of cells per cube."""
     actual = chunks.groupBy("cube").agg(F.sum(F.size("cells")).alias("actual"))
-    expected = shapes(dimensions, max_cells=None).select("cube", "expected")
+    expected = layouts(dimensions).select("cube", "expected")
     joined = expected.join(actual, "cube", "full")
     return joined.select(
         "cube",

@@ -207,3 +207,32 @@ def test_period_range(spark):
         period_count(F.lit("2020M11"), F.lit("2021M02"), "M"), period_count(F.lit("2021"), F.lit("2020"), "A")
     ).first()
     assert tuple(count) == (4, None)
+
+
+def test_labels_by_page_equal_labels_by_row(spark, monkeypatch):
+    monkeypatch.setattr(cube, "PAGE", 4)
+    sizes = {"a": [3, 11, 5], "b": [13], "c": [2, 9]}
+    dimensions = spark.createDataFrame(
+        [
+            (name, 10 * (d + 1), f"d{d}", p, f"{name}{d}:{p}", None if d else f"{p:03}")
+            for name, shape in sizes.items()
+            for d, size in enumerate(shape)
+            for p in range(size)
+        ],
+        "cube string, dimension int, name string, position bigint, label string, code string",
+    )
+    chunks = []
+    for name, shape in sizes.items():
+        total, base = 1, 0
+        for size in shape:
+            total *= size
+        for step in [1, 7, 40, 2, 13] * 20:
+            cells = [str(i) for i in range(base, min(base + step, total))]
+            if cells:
+                chunks.append((name, base, cells))
+            base += step
+    chunks = spark.createDataFrame(chunks, "cube string, base bigint, cells array<string>")
+    paged = cube.decode(chunks, dimensions, labels_in_row=0)
+    by_row = cube.decode(chunks, dimensions)
+    assert paged.count() == by_row.count() == 3 * 11 * 5 + 13 + 18
+    assert paged.exceptAll(by_row).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievetable.functions.periods import any_period_ordinal, iso_weeks_in_year, period_ordinal
 from sievetable.operators import cube
+from sievetable.operators.ordering import with_row_numbers
 from sievetable.plans.staged import kept
 from sievetable.sources import cube_files
 from workload.registry import query
@@ -109,6 +110,57 @@ def cube_long(spark, sf_dir):
     return cube.to_columns(cells, bindings, keep=["cube"])
 
 
+@query(
+    "cube_wide_dimension",
+    """WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS p2 FROM customer),
+s AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS p1 FROM (SELECT DISTINCT o_orderstatus AS status FROM orders)),
+n AS (SELECT o_orderstatus AS status, o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY ALL)
+SELECT p1 * (SELECT count(*) FROM c) + p2 AS index, status, c_name AS customer,
+ CAST(c.c_custkey AS VARCHAR) AS customer__code, CAST(n AS DOUBLE) AS value
+FROM s CROSS JOIN c LEFT JOIN n USING (status, c_custkey)""",
+)
+def cube_wide_dimension(spark, sf_dir):
+    """Orders by status and customer: every customer is a label, and labels come in pages."""
+    orders = table(spark, sf_dir, "orders")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    placed = kept(with_row_numbers(customers, ["c_custkey"], row="position", start=0), "cube-wide")
+    width = placed.count()
+    statuses = orders.select(F.col("o_orderstatus").alias("label")).distinct()
+    place = F.row_number().over(Window.orderBy("label")) - 1
+    statuses = kept(statuses.withColumn("position", place.cast("bigint")), "cube-status")
+    one = F.lit("orders").alias("cube")
+    dimensions = statuses.select(
+        one, F.lit(1).alias("dimension"), F.lit("status").alias("name"), "position", "label", F.lit(None).cast("string").alias("code")
+    ).unionByName(
+        placed.select(
+            one,
+            F.lit(2).alias("dimension"),
+            F.lit("customer").alias("name"),
+            "position",
+            F.col("c_name").alias("label"),
+            F.col("c_custkey").cast("string").alias("code"),
+        )
+    )
+    counted = orders.groupBy("o_orderstatus", "o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    first = statuses.select(F.col("label").alias("o_orderstatus"), F.col("position").alias("p1"))
+    second = placed.select(F.col("c_custkey").alias("o_custkey"), F.col("position").alias("p2"))
+    index = (F.col("p1") * width + F.col("p2")).alias("index")
+    known = counted.join(first, "o_orderstatus").join(second, "o_custkey").select(index, "n")
+    filled = known.groupBy(F.floor(F.col("index") / CHUNK).alias("chunk")).agg(
+        F.map_from_entries(F.collect_list(F.struct("index", "n"))).alias("known")
+    )
+    total = statuses.count() * width
+    grid = spark.range((total + CHUNK - 1) // CHUNK).withColumnRenamed("id", "chunk")
+    base = F.col("chunk") * CHUNK
+    token = F.transform(
+        F.sequence(base, F.least(base + CHUNK, F.lit(total)) - 1),
+        lambda i: F.coalesce(F.col("known")[i].cast("string"), F.lit('"."')),
+    )
+    chunks = grid.join(filled, "chunk", "left").select(one, base.alias("base"), token.alias("cells"))
+    cells = cube.decode(kept(chunks, "cube-wide-chunks"), dimensions, labels_in_row=0)
+    return cube.to_columns(cells, cube.column_bindings([("status", False), ("customer", True)])).drop("value__symbol")
+
+
 @query(
     "cube_symbols",
     _CUBE_SQL

@@ -19,7 +19,7 @@ from sievetable.errors import DataError
 from sievetable.operators import cube, export, lineage, quality, selection, snapshot
 from sievetable.plans import bounded, paths
 from sievetable.plans.staged import kept
-from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, ranges, tables
+from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, json_items, ranges, tables
 from workload.files import scratch
 from workload.quality import _GROUPED
 from workload.registry import query
@@ -198,6 +198,36 @@ def json_document_items(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
+@query(
+    "json_array_splits",
+    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS number, sha256(text) AS digest,
+ true AS many_splits FROM documents""",
+)
+def json_array_splits(spark, sf_dir):
+    """Four arrays, each on many splits: items carry their place and their whole text."""
+    part = F.pmod("doc_id", F.lit(4)).alias("part")
+    item = F.concat(F.lit(","), F.to_json(F.struct("doc_id", "text")))
+    items = table(spark, sf_dir, "documents").select(part, F.lit(1).alias("turn"), "doc_id", item.alias("value"))
+    ends = spark.range(4).select(F.col("id").alias("part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("turn"))
+    bracket = F.when(F.col("turn") == 0, F.lit('[{"doc_id":null}')).otherwise(F.lit("]"))
+    lines = items.unionByName(ends.select("part", "turn", F.lit(None).cast("bigint").alias("doc_id"), bracket.alias("value")))
+    path = scratch(spark)
+    ordered = lines.repartition("part").sortWithinPartitions("part", "turn", "doc_id")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        splits = spark.read.text(path).rdd.getNumPartitions()
+        found = kept(json_items.read_items(spark, path).items.select("number", "value"), "items")
+    finally:
+        spark.conf.set(setting, before)
+    parsed = found.select("number", F.from_json("value", "doc_id bigint, text string").alias("item"))
+    digest = F.sha2("item.text", 256).alias("digest")
+    rows = parsed.select("item.doc_id", "number", digest, F.lit(splits > 4).alias("many_splits"))
+    return rows.filter("doc_id IS NOT NULL")
+
+
 @query(
     "json_cells",
     """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS balance, '{"b":1}' AS plain FROM customer""",
