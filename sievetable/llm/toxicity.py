@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples.
 
 At most ``MAX_EXAMPLES`` labelled rows, the first by a hash of their id, are the
-examples. Words and word beginnings that speak for the label (by a test of two shares
-over the examples) span the space, at most ``MAX_TERMS`` of them; inverse document
-frequencies count all documents. A text's neighbours are the ``NEIGHBOURS`` examples of largest TF-IDF cosine,
-found exactly: examples lie in blocks, each with its largest weight of a term, and a
-block is opened only while the weights could still reach the last neighbour. Their
-votes weigh by closeness, and a logistic curve fitted on examples without themselves
-makes probabilities of them.
-
-A text without any of the terms has no neighbour; its score is the share of the label
-among such examples. Null texts are empty. Of several labels of an id the largest
-counts; null labels and ids are left out. Without examples every score is 0. Scores
-depend on the text alone, so repeated rows have equal scores.
+examples. All their words and word beginnings span the space; inverse document
+frequencies count all documents. A term that speaks for the label, by a test of two
+shares over the examples, weighs ``EMPHASIS`` times as much. A text's neighbours are
+the ``NEIGHBOURS`` examples of largest TF-IDF cosine, found exactly: the postings of the
+examples lie in blocks, each with its largest weight of a term, and a block is opened
+only while the weights could still reach the last neighbour. Their votes weigh by
+closeness, and a logistic curve fitted on examples without themselves makes
+probabilities of them.
+
+A text without any word of the examples has no neighbour; its score is the share of
+the label among all examples. Null texts are empty. Of several labels of an id the
+largest counts, of several texts the first in order; null labels and ids are left out.
+Without examples every score is 0. Scores depend on the text alone, so repeated rows
+have equal scores.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from sievetable.llm.shared import written
 
-MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048
+MAX_EXAMPLES = 2_048
 MIN_TEXTS, MIN_Z, MIN_LIFT = 3, 4.5, 3.0
-NEIGHBOURS, BLOCK = 15, 128
+EMPHASIS = 8.0
+NEIGHBOURS, BLOCK = 15, 512
 DAMPING = 0.5
 EVIDENCE = 3
-CACHED_VECTORS = 50_000
+TASKS = 64
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM, STEM_TIMES = 5, 3
@@ -58,7 +61,7 @@ def term_counts(text: str) -> Counter:
 
 
 class Index:
-    """Examples in blocks, with the largest weight of each term in each block."""
+    """Postings of examples in blocks, with the largest weight of each term in each block."""
 
     def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
         self.idf = idf
@@ -66,23 +69,34 @@ class Index:
         # examples with the same strongest terms share blocks, which makes the bounds tight
         def strongest(i: int) -> tuple:
             terms, weights = vectors[i]
-            return (*terms[np.lexsort((terms, -weights))].tolist(), examples[i][0])
+            return (*terms[np.lexsort((terms, -weights))[:8]].tolist(), examples[i][0])
 
         order = sorted(range(len(examples)), key=strongest)
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.labels = np.array([examples[i][1] for i in order], np.float64)
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        largest = np.zeros((len(idf), -(-len(order) // BLOCK)), np.float64)
-        for number, start in enumerate(range(0, len(order), BLOCK)):
-            part = [vectors[i] for i in order[start : start + BLOCK]]
-            terms = np.unique(np.concatenate([t for t, _ in part]))
-            weights = np.zeros((len(terms), len(part)))
-            for column, (t, w) in enumerate(part):
-                weights[np.searchsorted(terms, t), column] = w
-            self.blocks.append((terms, weights))
-            largest[terms, number] = weights.max(axis=1)
-        self.largest = largest
-        self.cache: dict[tuple, list[tuple[float, int]]] = {}
+        self.n_blocks = -(-len(order) // BLOCK)
+        self.largest = np.zeros((len(idf), self.n_blocks))
+        if not order:
+            return
+        terms, weights = (np.concatenate(x) for x in zip(*(vectors[i] for i in order)))
+        places = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        # a list of postings for each term and block
+        cells = terms * self.n_blocks + places // BLOCK
+        by_cell = np.lexsort((places, cells))
+        self.starts = np.zeros(len(idf) * self.n_blocks + 1, np.int32)
+        np.cumsum(np.bincount(cells, minlength=len(self.starts) - 1), out=self.starts[1:])
+        self.places, self.weights = places[by_cell].astype(np.int32), weights[by_cell]
+        held = np.unique(cells)
+        self.largest.ravel()[held] = np.maximum.reduceat(self.weights, self.starts[held])
+
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of all examples in some blocks; 0 elsewhere."""
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        first = self.starts[cells]
+        sizes = self.starts[cells + 1] - first
+        at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        products = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
+        return np.round(np.bincount(self.places[at], products, len(self.ids)), 9)
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
@@ -91,29 +105,26 @@ class Index:
 
     def nearest(self, terms: list[int], counts: list[int], without: int | None = None) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest examples, the largest first, ties by place."""
-        key = (tuple(terms), tuple(counts), without)
-        if key in self.cache:
-            return self.cache[key]
         t, w = self.vector(terms, counts)
-        bounds = w @ self.largest[t] if self.blocks else np.empty(0)
+        bounds = w @ self.largest[t]
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for number in np.argsort(-bounds, kind="stable"):
-            if bounds[number] <= 0 or len(best) == NEIGHBOURS and bounds[number] < -best[-1][0] - 1e-9:
+        done, group = 0, 1
+        while done < len(order):
+            least = -best[-1][0] if len(best) == NEIGHBOURS else 0.0
+            opened = order[done : done + group]
+            opened = opened[(bounds[opened] > 0) & (bounds[opened] >= least - 1e-9)]
+            if not len(opened):
                 break
-            held, weights = self.blocks[number]
-            at = np.searchsorted(held, t)
-            known = (at < len(held)) & (held[np.minimum(at, len(held) - 1)] == t)
-            cosines = np.round(w[known] @ weights[at[known]], 9)
-            first = number * BLOCK
-            found = [(-cosines[i], int(first + i)) for i in np.flatnonzero(cosines > 0)]
+            cosines = self.cosines(t, w, np.sort(opened))
             if without is not None:
-                found = [x for x in found if self.ids[x[1]] != without]
-            best = sorted(best + found)[:NEIGHBOURS]
-        out = [(-c, i) for c, i in best]
-        if len(self.cache) >= CACHED_VECTORS:
-            self.cache.clear()
-        self.cache[key] = out
-        return out
+                cosines[self.ids == without] = 0
+            near = np.flatnonzero((cosines > 0) & (cosines >= least))
+            near = near[np.argsort(-cosines[near], kind="stable")][:NEIGHBOURS]
+            best = sorted(best + [(-cosines[i], int(i)) for i in near])[:NEIGHBOURS]
+            # blocks are opened in growing groups, so that a text that prunes little needs few passes
+            done, group = done + group, 4 * group
+        return [(-c, i) for c, i in best]
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         """The closeness-weighted share of the label, damped towards ``prior``."""
@@ -142,15 +153,15 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Terms, index and curve; small enough to be sent with the tasks."""
+    """Index and curve."""
 
-    def __init__(self, index: Index, prior: float, empty: float, curve: tuple[float, float]) -> None:
-        self.index, self.prior, self.empty, self.curve = index, prior, empty, curve
+    def __init__(self, index: Index, prior: float, curve: tuple[float, float]) -> None:
+        self.index, self.prior, self.curve = index, prior, curve
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
         if not len(terms) or not len(self.index.ids):
-            return self.empty, []
-        near = self.index.nearest(list(terms), list(counts))
+            return self.prior, []
+        near = self.index.nearest(terms, counts)
         slope, offset = self.curve
         value = slope * logit(self.index.vote(near, self.prior)) + offset
         shown = [
@@ -172,8 +183,8 @@ def examples_of(labels: DataFrame, id_col: str, label_col: str, most: int) -> Da
     return one.orderBy(F.xxhash64("example"), "example").limit(most)
 
 
-def telling_terms(texts: DataFrame) -> list[str]:
-    """The terms of (text, label) rows that speak most surely for the label."""
+def vocabulary(examples: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """The place of every term of (text, label) rows, and which of them speak for the label."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -182,20 +193,48 @@ def telling_terms(texts: DataFrame) -> list[str]:
                 counts = Counter((t, y) for text, y in zip(part["text"], part["label"]) for t in term_counts(text))
                 yield pd.DataFrame([(t, y, n) for (t, y), n in counts.items()], columns=["term", "label", "n"])
 
-    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    counts = texts.mapInPandas(run, "term string, label int, n long").groupBy("term").agg(
+    sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1 = sizes.get(1, 0)
+    n0 = sum(sizes.values()) - n1
+    counts = examples.select("text", "label").mapInPandas(run, "term string, label int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"),
+        F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("b"),
     )
-    p1, p0 = F.col("a") / n1, F.col("b") / n0
-    pooled = (F.col("a") + F.col("b")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    lifted = p1 >= MIN_LIFT * (F.col("b") + 0.5) / n0
-    sure = counts.withColumn("z", z).where((F.col("a") >= MIN_TEXTS) & (F.col("z") >= MIN_Z) & lifted)
-    return [r["term"] for r in sure.orderBy(F.col("z").desc(), "term").limit(MAX_TERMS).collect()]
+    found = counts.toArrow()  # the words of at most MAX_EXAMPLES texts
+    terms = found["term"].to_pylist()
+    a, b = found["a"].to_numpy().astype(float), found["b"].to_numpy().astype(float)
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    places = {terms[i]: place for place, i in enumerate(order)}
+    if not n1 or not n0:
+        return places, np.zeros(len(terms), bool)
+    pooled = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
+    telling = (a >= MIN_TEXTS) & (z >= MIN_Z) & (a / n1 >= MIN_LIFT * (b + 0.5) / n0)
+    return places, telling[order]
+
+
+def placed_terms(text: str, places: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The known terms of a text by place, and how often each stands there."""
+    found = {places[t]: n for t, n in term_counts(text).items() if t in places}
+    return list(found), list(found.values())
+
+
+def frequencies(vectors: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many hold each known term."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(n_terms + 1, np.int64)  # the last for all texts
+        for frame in frames:
+            counts[-1] += len(frame)
+            for terms in frame["terms"]:
+                counts[terms] += 1
+        held = np.flatnonzero(counts)
+        yield pd.DataFrame({"t": held, "n": counts[held]})
+
+    summed = vectors.select("terms").mapInPandas(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(n_terms + 1, np.int64)
+    counts[summed["t"].to_numpy()] = summed["n"].to_numpy()
+    return int(counts[-1]), counts[:-1]
 
 
 def score_toxicity(
@@ -213,51 +252,52 @@ def score_toxicity(
     narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     # at most MAX_EXAMPLES rows of two numbers
     labelled = narrow.join(F.broadcast(chosen), F.col("id") == F.col("example"))
-    terms = telling_terms(written(labelled.select("text", "label"), "texts"))
-    places = {term: i for i, term in enumerate(terms)}
-
-    def sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for value in frame["text"]:
-                counts = term_counts(value)
-                found = sorted((places[t], n) for t, n in counts.items() if t in places)
-                rows.append(([i for i, _ in found], [n for _, n in found]))
-            out = pd.DataFrame(rows, columns=["terms", "counts"])
-            out.insert(0, "id", frame["id"].array)
-            yield out
-
-    vectors = written(narrow.mapInPandas(sparse, f"id {kind}, terms array<int>, counts array<int>"), "vectors")
-    totals = vectors.agg(F.count("*").alias("n")).first()["n"]
-    frequencies = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
-    idf = np.full(len(terms), math.log(1 + totals), np.float64)
-    for row in frequencies:  # a row for each of at most MAX_TERMS terms
-        idf[row["t"]] = math.log((1 + totals) / (1 + row["n"])) + 1
-    known = vectors.join(F.broadcast(chosen), F.col("id") == F.col("example")).dropDuplicates(["example"])
-    rows = [(r["example"], r["label"], r["terms"], r["counts"]) for r in known.orderBy("example").collect()]
-    inside = [r for r in rows if r[2]]
-    outside = [r[1] for r in rows if not r[2]]
-    prior = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
-    empty = (sum(outside) + prior) / (len(outside) + 1) if rows else 0.0
-    index = Index(idf, inside)
+    known = written(labelled.groupBy("example", "label").agg(F.min("text").alias("text")), "texts")
+    places, telling = vocabulary(known)
+
+    def sparse(column: str):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = pd.DataFrame([placed_terms(x, places) for x in frame["text"]], columns=["terms", "counts"])
+                out.insert(0, column, frame[column].array)
+                yield out
+
+        return run
+
+    arrays = "terms array<int>, counts array<int>"
+    vectors = written(narrow.mapInPandas(sparse("id"), f"id {kind}, {arrays}"), "vectors")
+    totals, counted = frequencies(vectors, len(places))
+    idf = (np.log((1 + totals) / (1 + counted)) + 1) * np.where(telling, EMPHASIS, 1.0)
+    known = written(known.mapInPandas(sparse("example"), f"example {kind}, {arrays}").join(F.broadcast(chosen), "example"), "known")
+    rows = known.orderBy("example").toArrow()
+    lists = [rows[c].combine_chunks() for c in ("terms", "counts")]
+    examples = [
+        (i, y, lists[0][k].values.to_numpy(), lists[1][k].values.to_numpy())
+        for k, (i, y) in enumerate(zip(rows["example"].to_pylist(), rows["label"].to_pylist()))
+    ]
+    prior = (sum(x[1] for x in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
+    index = Index(idf, [x for x in examples if len(x[2])])
+    # it grows with the examples alone
+    sent = narrow.sparkSession.sparkContext.broadcast(index)
 
     def without_self(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = sent.value
         for frame in frames:
             votes = [
-                index.vote(index.nearest(list(t), list(n), i), prior)
-                for i, t, n in zip(frame["id"], frame["terms"], frame["counts"])
+                index.vote(index.nearest(t, n, i), prior)
+                for i, t, n in zip(frame["example"], frame["terms"], frame["counts"])
             ]
             yield pd.DataFrame({"vote": votes, "label": frame["label"].array})
 
     curve = (1.0, 0.0)
-    if inside:
-        tests = known.where(F.size("terms") > 0).select("id", "terms", "counts", "label")
+    if len(index.ids):
+        tests = known.where(F.size("terms") > 0).repartition(TASKS, "example")
         voted = tests.mapInPandas(without_self, "vote double, label int").toPandas()
         voted = voted.sort_values(["vote", "label"])
         curve = fitted_curve(voted["vote"].to_numpy(), voted["label"].to_numpy().astype(float))
-    model = Model(index, prior, empty, curve)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(sent.value, prior, curve)
         for frame in frames:
             scored = [model.score(t, n) for t, n in zip(frame["terms"], frame["counts"])]
             out = pd.DataFrame(scored, columns=["score", "evidence"])

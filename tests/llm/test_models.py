@@ -172,3 +172,64 @@ def test_nearest_examples_are_exact():
         _, _, t, n = examples[i]
         cosines = np.sort(np.round(vectors @ vectors[i], 9))[::-1][: toxicity.NEIGHBOURS]
         assert np.allclose([c for c, _ in index.nearest(t, n)], cosines, atol=2e-9)
+
+
+def test_toxicity_against_all_cosines(spark, shared_dir):
+    """Evidence and scores of every text from dense vectors of all words, telling or not."""
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    docs, labels = labelled(400)
+    docs += [(500, "plain words nobody marked"), (501, ""), (502, "qqqq zzzz")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    def terms(body):
+        words = Counter(re.findall(r"[^\W\d_]+", body.lower()))
+        stems = Counter()
+        for word, n in words.items():
+            stems.update({word[:5]: n} if len(word) >= 5 else {})
+        words.update({f"{s}{'*' * k}": 1 for s, n in stems.items() for k in (1, 2, 3) if n >= k})
+        return words
+
+    truth = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    counts = {i: terms(body) for i, body in docs}
+    space = sorted({t for i in truth for t in counts[i]})
+    n1, n0 = sum(truth.values()), len(truth) - sum(truth.values())
+    idf = {}
+    for t in space:
+        a, b = (sum(t in counts[i] for i, y in truth.items() if y == label) for label in (1, 0))
+        pooled = (a + b) / (n1 + n0)
+        z = (a / n1 - b / n0) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
+        told = a >= 3 and z >= 4.5 and a / n1 >= 3 * (b + 0.5) / n0
+        idf[t] = (math.log((1 + len(docs)) / (1 + sum(t in c for c in counts.values()))) + 1) * (8 if told else 1)
+    assert 0 < sum(v >= 8 for v in idf.values()) < len(space) / 2
+
+    def vector(i):
+        v = np.array([(1 + math.log(counts[i][t])) * idf[t] if t in counts[i] else 0.0 for t in space])
+        return v / (np.linalg.norm(v) or 1)
+
+    matrix = np.array([vector(i) for i in truth])
+    ids = list(truth)
+    prior = (n1 + 0.5) / (len(truth) + 1)
+    votes, scores = [], []
+    for i, _ in docs:
+        cosines = matrix @ vector(i)
+        best = np.sort(cosines[cosines > 0])[::-1][:15]
+        shown = rows[i].evidence
+        assert len(shown) == min(3, len(best)) and np.allclose([e.cosine for e in shown], best[:3], atol=1e-8)
+        assert all(abs(cosines[ids.index(e.id)] - e.cosine) < 1e-8 and truth[e.id] == e.label for e in shown)
+        if not len(best):
+            assert abs(rows[i].score - prior) < 1e-9
+        elif len(best) == 15 and best[-1] - np.sort(cosines)[::-1][15] > 1e-8:  # no tie at the border
+            near = np.argsort(-cosines, kind="stable")[:15]
+            share = sum(cosines[k] ** 2 * truth[ids[k]] for k in near)
+            votes.append(toxicity.logit((share + 0.5 * prior) / (sum(cosines[near] ** 2) + 0.5)))
+            scores.append(toxicity.logit(rows[i].score))
+    assert len(votes) > 300
+    inner = np.abs(scores) < 13
+    line = np.polyfit(np.array(votes)[inner], np.array(scores)[inner], 1)
+    assert line[0] > 0 and np.allclose(np.polyval(line, np.array(votes)[inner]), np.array(scores)[inner], atol=1e-5)
