@@ -40,23 +40,24 @@ EVIDENCE = 3
 TASKS = 64
 
 WORD = re.compile(r"[^\W\d_]+")
-STEM, STEM_TIMES = 5, 3
+STEM, MARKS = 5, ("*", "**", "***")
 ROWS_OUT = 1000
 
 
-def term_counts(text: str) -> Counter:
+def term_counts(text: str) -> dict[str, int]:
     """How often each word stands in a text, and which word beginnings stand in it.
 
     A beginning of ``STEM`` letters has a term for once, twice and three times or more.
     """
-    counts = Counter(WORD.findall(text.lower()))
-    stems: Counter = Counter()
+    counts = dict(Counter(WORD.findall(text.lower())))
+    stems: dict[str, int] = {}
     for word, n in counts.items():
         if len(word) >= STEM:
-            stems[word[:STEM]] += n
+            stem = word[:STEM]
+            stems[stem] = stems.get(stem, 0) + n
     for stem, n in stems.items():
-        for times in range(1, min(n, STEM_TIMES) + 1):
-            counts[stem + "*" * times] = 1
+        for mark in MARKS[:n]:
+            counts[stem + mark] = 1
     return counts
 
 
@@ -215,7 +216,7 @@ def vocabulary(examples: DataFrame) -> tuple[dict[str, int], np.ndarray]:
 
 def placed_terms(text: str, places: dict[str, int]) -> tuple[list[int], list[int]]:
     """The known terms of a text by place, and how often each stands there."""
-    found = {places[t]: n for t, n in term_counts(text).items() if t in places}
+    found = {place: n for t, n in term_counts(text).items() if (place := places.get(t)) is not None}
     return list(found), list(found.values())
 
 
