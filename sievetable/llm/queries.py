@@ -144,7 +144,7 @@ WITH docs AS (
 ), hosts AS (SELECT host, count(DISTINCT t) AS n_texts FROM docs GROUP BY host
 ), common AS (
     SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM normal GROUP BY ALL) c JOIN hosts USING (host)
-    WHERE n >= 20 AND n > 0.1 * n_texts
+    WHERE n >= 20 AND n > least(0.0625 * n_texts, 1000)
 ), removed AS (SELECT r, sum(n) AS n_removed FROM normal JOIN common USING (host, line) GROUP BY r
 ), figures AS (
     SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,

@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed. For each host (by default the source of a document)
 the distinct texts that hold a line are counted; a line in more than ``MAX_SHARE`` of
-them, and in ``MIN_TEXTS`` at least, is furniture of the host and is removed. A
+them, and in ``MIN_TEXTS`` at least, is furniture of the host and is removed, and so is
+one in more than ``MAX_TEXTS`` of them, however many texts the host has. A
 document with too few words left, or that loses more than half of its words, is
 depleted and rejected, as are those that fail the base rules. Exact copies of a text
 count once for a host, so that a copied document doesn't make its own lines common.
@@ -24,8 +25,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 MIN_WORDS = 50
 MAX_REPEATED = 50
-MAX_SHARE = 0.1
-MIN_TEXTS = 20
+MAX_SHARE = 0.0625
+MIN_TEXTS, MAX_TEXTS = 20, 1_000
 
 
 def words_of(text: Column) -> Column:
@@ -99,14 +100,15 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return places.withColumn("n_repeat_words", total).drop("places")
 
 
-def common_lines(rows: DataFrame, max_share: float, min_texts: int) -> DataFrame:
+def common_lines(rows: DataFrame, max_share: float, min_texts: int, max_texts: int) -> DataFrame:
     """(host, h) of the lines above the limits, each distinct text counted once."""
     texts = rows.select("host", "text_hash", F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("h"))
     texts = texts.dropDuplicates(["host", "text_hash"])
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     counts = texts.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     often = counts.where(F.col("n") >= min_texts).join(hosts, "host")
-    return often.where(F.col("n") > max_share * F.col("n_texts")).select("host", "h")
+    limit = F.least(max_share * F.col("n_texts"), F.lit(max_texts))
+    return often.where(F.col("n") > limit).select("host", "h")
 
 
 def judge(
@@ -116,12 +118,13 @@ def judge(
     host_col: str = "source",
     max_share: float = MAX_SHARE,
     min_texts: int = MIN_TEXTS,
+    max_texts: int = MAX_TEXTS,
 ) -> DataFrame:
     """One row per document: id, host, text_hash, figures, removed line hashes, kept."""
     rows = written(
         measured(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "rules"
     )
-    common = common_lines(rows, max_share, min_texts)
+    common = common_lines(rows, max_share, min_texts, max_texts)
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
     removed = (
         lines.join(common, ["host", "h"])

@@ -69,7 +69,7 @@ def contamination(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     return out
 
 
-def rule_figures(rows: list[tuple], share: float, least: int) -> list[tuple]:
+def rule_figures(rows: list[tuple], share: float, least: int, most: int) -> list[tuple]:
     """Figures and verdicts of each (id, text, host) row."""
 
     def normal(line: str) -> str:
@@ -93,7 +93,7 @@ def rule_figures(rows: list[tuple], share: float, least: int) -> list[tuple]:
         removed = sum(
             len(SPACES.findall(x))
             for x in lines
-            if least <= len(holders[host, normal(x)]) > share * len(texts[host])
+            if least <= len(holders[host, normal(x)]) > min(share * len(texts[host]), most)
         )
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         kept = not failed and len(words) - removed >= 50 and 2 * removed <= len(words)

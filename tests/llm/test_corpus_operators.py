@@ -92,15 +92,27 @@ def test_line_rules(hard, nothing):
         (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_removed_words,
          r.base_failed, r.kept) for r in got
     ))
-    assert found == sorted(brute.rule_figures(hard_rows(), 0.2, 20))
+    assert found == sorted(brute.rule_figures(hard_rows(), 0.2, 20, rules.MAX_TEXTS))
     assert any(r.n_removed_words for r in got)
     assert rules.judge(nothing).count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_host(spark, shared_dir):
+    """A line in 61 of 3,000 texts is a small share, and above a limit of 60 texts; one in 60 stays."""
+    body = text(9, 60)
+    rows = [(i, ("shared by 61\n" if i < 61 else "") + ("shared by 0060\n" if i % 50 == 0 else "") + body + " " + "".join(chr(97 + int(c)) for c in str(i)), "h") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given = rules.judge(docs, max_share=0.5, max_texts=60).select("doc_id", "n_removed_words").collect()
+    removed = {r.doc_id: r.n_removed_words for r in given}
+    usual = removed[2999]
+    assert all(removed[i] == usual + 3 * (i < 61) for i in range(3000))
+
+
 def test_keep_good_removes_lines_and_rejected_rows(spark, hard):
     kept = rules.keep_good(hard)
     assert kept.columns == hard.columns
-    wanted = sorted(x[0] for x in brute.rule_figures(hard_rows(), rules.MAX_SHARE, rules.MIN_TEXTS) if x[-1])
+    figures = brute.rule_figures(hard_rows(), rules.MAX_SHARE, rules.MIN_TEXTS, rules.MAX_TEXTS)
+    wanted = sorted(x[0] for x in figures if x[-1])
     rows = kept.collect()
     assert sorted(r.doc_id for r in rows) == wanted
     assert not any("Same first line" in r.text for r in rows)

@@ -33,7 +33,8 @@ def test_order_and_columns(spark, tables):
 
 
 def test_quality_rules(tables):
-    verdicts = brute.rule_figures([(r.doc_id, r.text, r.source) for r in tables[0]], rules.MAX_SHARE, rules.MIN_TEXTS)
+    rows = [(r.doc_id, r.text, r.source) for r in tables[0]]
+    verdicts = brute.rule_figures(rows, rules.MAX_SHARE, rules.MIN_TEXTS, rules.MAX_TEXTS)
     assert sorted(r.doc_id for r in tables[1]) == sorted(v[0] for v in verdicts if v[-1])
 
 
