@@ -60,14 +60,24 @@ def detect_path(
     ``mismatched`` counts the files whose extension names the other delimiter.
     """
     found = detect_files(spark, path, media_type=media_type, declared=declared)
-    rules = ["format", "encoding", "delimiter", "header"]
+    rules = ["format", "header", "read_as"]
     first = F.min(F.struct("path", "extension", "confidence", "bytes")).alias("first")
     # Two kinds are enough to refuse, so the driver sees three rows at most.
     other = ((F.col("extension") == "csv") & (F.col("format") == "tsv")) | (
         (F.col("extension") == "tsv") & (F.col("format") == "csv")
     )
     mismatched = F.count_if(other).alias("mismatched")
-    grouped = found.groupBy(*rules).agg(first, mismatched).select(*rules, "mismatched", "first.*")
+    # A header without rows, as Spark writes it for an empty first partition, shows no
+    # delimiter. It goes with the files that have the same header.
+    told = [
+        F.max("encoding").alias("encoding"),
+        F.min("delimiter").alias("delimiter"),
+        (F.min("delimiter") != F.max("delimiter")).alias("differ"),
+    ]
+    named = found.withColumn("read_as", F.coalesce("encoding", F.lit("utf-8")))
+    grouped = named.groupBy(*rules).agg(first, mismatched, *told).select(
+        "format", "encoding", "delimiter", "header", "mismatched", "differ", "first.*"
+    )
     kinds = grouped.orderBy("path").limit(3).collect()
     if not kinds:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -80,7 +90,7 @@ def detect_path(
             "The files of the path have different formats.",
             formats={k.path: k.format for k in kinds},
         )
-    if kinds[0].format in ("csv", "tsv") and len(kinds) > 1:
+    if kinds[0].format in ("csv", "tsv") and (len(kinds) > 1 or kinds[0].differ):
         raise DataError(
             "MIXED_HEADERS",
             "The files of the path have different headers or dialects.",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from sievetable.errors import DataError
+from sievetable.operators import export
+from sievetable.plans import paths
 from sievetable.sources import tables
 from tests.test_cubes import PLACES
 from tests.test_sources import STATIONS, write
@@ -166,3 +168,23 @@ def test_a_map_column_is_validated(spark):
 
     frame = spark.createDataFrame([({"a": 1}, "x"), ({"a": 1}, "x")], "m map<string,int>, s string")
     assert [r.code for r in quality.validate(frame).collect()] == ["DUPLICATE_ROW"]
+
+
+@pytest.mark.parametrize("header", ["id,name", "id;name"])
+def test_header_without_rows_goes_with_the_other_files(spark, tmp_path, header):
+    mark = header[2]
+    (tmp_path / "part-0.csv").write_text(f"{header}\n")
+    (tmp_path / "part-1.csv").write_text(f"{header}\n1{mark}x\n2{mark}y\n")
+    found = tables.detect_path(spark, str(tmp_path))
+    assert (found.format, found.delimiter, found.encoding, found.header) == ("csv", mark, "utf-8", header)
+    assert sorted(map(tuple, tables.open_table(spark, str(tmp_path)).table.collect())) == [(1, "x"), (2, "y")]
+    (tmp_path / "part-2.csv").write_text("other\n")
+    with pytest.raises(DataError, match="different headers"):
+        tables.detect_path(spark, str(tmp_path))
+
+
+def test_schema_of_a_table_whose_first_partition_is_empty(spark, tmp_path):
+    rows = spark.range(20, numPartitions=4).filter("id >= 5").selectExpr("id", "concat('n', id) AS name")
+    export.write_table(rows, str(tmp_path / "t"), "csv")
+    found = {r.name: (r.type, r.sampled_rows) for r in paths.schema_path(spark, str(tmp_path / "t")).collect()}
+    assert found == {"id": ("integer", 15), "name": ("string", 15)}
