@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievetable.functions import cells
 from sievetable.operators.ordering import (
+    EDGE_CHARACTERS,
     expand_counts,
     range_count,
-    range_of,
     running_total,
-    sampled_edges,
     with_previous,
     with_row_numbers,
 )
@@ -23,6 +24,7 @@ from sievetable.plans.staged import kept
 # So many values are sorted at last when ranks are looked for.
 SELECTION_ROWS = 200_000
 SELECTION_ROUNDS = 6
+SELECTION_SAMPLE = 10_000
 
 
 def completeness(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -108,48 +110,121 @@ def histogram(df: DataFrame, value: str, low: float, width: float, bins: int) ->
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
 
 
+class Edge(NamedTuple):
+    """A value that rows were compared with: how many are smaller, and how many are not larger."""
+
+    value: object
+    below: int
+    up_to: int
+
+
 def quantile_table(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     """Exact quantiles (the smallest value at or above each share of the rows).
 
-    Values are counted in sampled ranges, and only ranges that hold a wanted rank are
-    looked at again, until few values are left to sort. The driver gets one count for
-    each range.
+    Sampled values near each wanted rank are edges. One aggregate counts the rows below and
+    up to each edge, so a rank is at an edge or between two of them, and only rows between
+    these are sampled next, until few are left to sort. The driver gets the sample and two
+    counts for each edge.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(
-        F.col(value).alias("v"), F.lit(0).cast("bigint").alias("before")
-    )
-    left = total = rows.count()
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    data_type = rows.schema["v"].dataType
+    total = rows.count()
     ranks = {share: max(1, math.ceil(share * total)) for share in shares}
+    edges: list[Edge] = []
+    left = None
     for _ in range(SELECTION_ROUNDS):
-        if left <= SELECTION_ROWS:
-            break
-        key = F.struct(F.col("v").alias("k0"))
-        key_type = rows.select(key.alias("k")).schema["k"].dataType
-        edges = sampled_edges(rows, key, range_count(rows, left))
-        ranged = rows.withColumn("range", range_of(key, edges, key_type))
-        counts = ranged.groupBy("before", "range").agg(F.count(F.lit(1)).alias("n")).collect()
-        wanted, low, last = [], 0, None
-        for row in sorted(counts):
-            low = row.before if row.before != last else low
-            last = row.before
-            if any(low < rank <= low + row.n for rank in ranks.values()):
-                wanted.append((row.before, row.range, low, row.n))
-            low += row.n
-        found = sum(n for *_, n in wanted)
-        if found == left:
+        spans = _spans(edges, ranks.values(), total)
+        open_rows = sum(n for (_, equal), (_, n) in spans.items() if not equal)
+        if open_rows <= SELECTION_ROWS or open_rows == left:
             break
-        place = F.lit(None).cast("bigint")
-        for before, number, low, _ in wanted:
-            place = F.when((F.col("before") == before) & (F.col("range") == number), F.lit(low)).otherwise(place)
-        rows = ranged.select("v", place.cast("bigint").alias("before")).filter("before IS NOT NULL")
-        left = found
-    counted = rows.groupBy("before", "v").agg(F.count(F.lit(1)).alias("copies"))
+        left = open_rows
+        found = _counted_edges(rows, _sampled_edges(rows, edges, spans, ranks.values(), left, data_type), data_type)
+        edges = sorted({*edges, *found}, key=lambda e: (e.below, e.up_to))
+    spans = _spans(edges, ranks.values(), total)
+    held = _in_span(edges, spans, data_type).cast("bigint")
+    counted = rows.withColumn("before", held).filter("before IS NOT NULL")
+    counted = counted.groupBy("before", "v").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("before").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     up_to = F.col("before") + F.coalesce(F.sum("copies").over(order), F.lit(0))
     listed = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(r).cast("bigint").alias("rank")) for s, r in ranks.items()])
     placed = counted.withColumn("low", up_to).withColumn("share", F.explode(listed))
-    held = (F.col("share.rank") > F.col("low")) & (F.col("share.rank") <= F.col("low") + F.col("copies"))
-    return placed.filter(held).select("share.share", F.col("v").alias("quantile"))
+    wanted = (F.col("share.rank") > F.col("low")) & (F.col("share.rank") <= F.col("low") + F.col("copies"))
+    return placed.filter(wanted).select("share.share", F.col("v").alias("quantile"))
+
+
+def _spans(edges: list[Edge], ranks: Iterable[int], total: int) -> dict[tuple[int, bool], tuple[int, int]]:
+    """Where ranks are: (place of the edge behind, whether the rank is at that edge) to (rows before, rows)."""
+    spans = {}
+    for rank in ranks:
+        place = next((i for i, e in enumerate(edges) if rank <= e.up_to), len(edges))
+        before = edges[place - 1].up_to if place else 0
+        if place < len(edges) and rank > edges[place].below:
+            spans[place, True] = edges[place].below, edges[place].up_to - edges[place].below
+        else:
+            after = edges[place].below if place < len(edges) else total
+            spans[place, False] = before, after - before
+    return spans
+
+
+def _in_span(edges: list[Edge], spans: dict[tuple[int, bool], tuple[int, int]], data_type: T.DataType) -> Column:
+    """The rows before a value's span; null for values of no span."""
+    found = F.lit(None)
+    for (place, equal), (before, _) in spans.items():
+        inside = F.lit(True)
+        if equal:
+            inside = F.col("v") == F.lit(edges[place].value).cast(data_type)
+        else:
+            if place:
+                inside = inside & (F.col("v") > F.lit(edges[place - 1].value).cast(data_type))
+            if place < len(edges):
+                inside = inside & (F.col("v") < F.lit(edges[place].value).cast(data_type))
+        found = F.when(inside, F.lit(before)).otherwise(found)
+    return found
+
+
+def _sampled_edges(
+    rows: DataFrame,
+    edges: list[Edge],
+    spans: dict[tuple[int, bool], tuple[int, int]],
+    ranks: Iterable[int],
+    left: int,
+    data_type: T.DataType,
+) -> list:
+    """Two sampled values about each rank that is still between edges, four deviations apart at either side."""
+    wanted = SELECTION_SAMPLE + 32 * range_count(rows, left)
+    open_spans = {key: span for key, span in spans.items() if not key[1]}
+    inside = rows.withColumn("before", _in_span(edges, open_spans, data_type).cast("bigint")).filter("before IS NOT NULL")
+    if left > wanted:
+        inside = inside.sample(fraction=wanted / left, seed=17)
+    cut = F.col("v")
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        cut = F.substring("v", 1, EDGE_CHARACTERS)
+    sampled = inside.groupBy("before").agg(F.array_sort(F.collect_list(cut)).alias("v"))
+    sizes = {before: n for before, n in open_spans.values()}
+    found = []
+    for before, values in sampled.collect():
+        places = set()
+        for rank in ranks:
+            if not before < rank <= before + sizes[before]:
+                continue
+            share = (rank - before) / sizes[before]
+            spread = 4 * math.sqrt(len(values) * share * (1 - share)) + 2
+            low, high = math.floor(share * len(values) - spread), math.ceil(share * len(values) + spread)
+            places |= {p for p in (low, high) if 0 <= p < len(values)}
+        found += [values[p] for p in sorted(places or {0})]
+    return found
+
+
+def _counted_edges(rows: DataFrame, values: list, data_type: T.DataType) -> list[Edge]:
+    """Rows below and up to each value, in one pass."""
+    if not values:
+        return []
+    counts = []
+    for value in values:
+        edge = F.lit(value).cast(data_type)
+        counts += [F.count_if(F.col("v") < edge), F.count_if(F.col("v") <= edge)]
+    row = rows.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
+    return [Edge(value, row[2 * i], row[2 * i + 1]) for i, value in enumerate(values)]
 
 
 def heat_map(df: DataFrame, row: str, column: str, columns: Sequence[str]) -> DataFrame:

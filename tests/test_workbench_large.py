@@ -75,3 +75,23 @@ def test_offsets_of_many_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(positions, "WINDOW_PIECES", 2)
     levels = {r.value: r.row for r in positions.number_text_rows(spark.read.text(path)).collect()}
     assert plain == levels and sorted(levels.values()) == list(range(2, 3002))
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "bigint"])
+def test_quantiles_need_no_ranges_of_every_row(spark, monkeypatch, kind):
+    monkeypatch.setattr(workbench, "SELECTION_ROWS", 50)
+    monkeypatch.setattr(workbench, "SELECTION_SAMPLE", 100)
+    monkeypatch.setattr(workbench, "range_count", lambda df, n: 1)
+    scans = []
+    plain = workbench._counted_edges
+    monkeypatch.setattr(workbench, "_counted_edges", lambda *a: scans.append(a[1]) or plain(*a))
+    df = spark.range(40_000, numPartitions=5).select((F.xxhash64("id") % 9_000).cast(kind).alias("v"))
+    df = df.withColumn("v", F.when(F.rand(3) < 0.3, F.lit(77).cast(kind)).otherwise(F.col("v"))).cache()
+    shares = [0.0, 0.3, 0.5, 0.51, 0.97, 1.0]
+    table = workbench.quantile_table(df, "v", shares)
+    there = sorted(r.v for r in df.collect())
+    expected = {s: there[max(1, math.ceil(s * len(there))) - 1] for s in shares}
+    assert {r.share: r.quantile for r in table.collect()} == expected
+    assert 1 < len(scans) <= workbench.SELECTION_ROUNDS
+    # compared with a few values in the plan, not with a range for each row
+    assert "lambda" not in table._jdf.queryExecution().optimizedPlan().toString()
