@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievetable.functions.geo import valid_geometry, valid_lat_lon
@@ -44,43 +44,36 @@ def chain_problems(reductions: DataFrame, totals: DataFrame) -> DataFrame:
     ``reductions``: presentation, step (dense from 0), method, original_rows,
     presented_rows. ``totals``: presentation, original_rows, presented_rows.
     """
-    linked = with_previous(
-        reductions, "step", ["presented_rows"], within=["presentation"], chunk=100_000
-    )
-    unlinked = linked.filter(F.col("previous_presented_rows") != F.col("original_rows"))
-    growing = reductions.filter(
-        (F.col("original_rows") <= F.col("presented_rows"))
-        | (F.trim(F.coalesce("method", F.lit(""))) == "")
+    narrow = reductions.select(
+        "presentation",
+        "step",
+        "original_rows",
+        "presented_rows",
+        (F.trim(F.coalesce("method", F.lit(""))) == "").alias("unnamed"),
     )
+    # Each row and each presentation is looked at once; its problems are listed.
+    linked = with_previous(narrow, "step", ["presented_rows"], within=["presentation"], chunk=100_000)
+    growing = (F.col("original_rows") <= F.col("presented_rows")) | F.col("unnamed")
+    of_steps = [
+        F.when(F.col("previous_presented_rows") != F.col("original_rows"), F.lit("CHAIN_BROKEN")),
+        F.when(growing, F.lit("NOT_A_REDUCTION")),
+    ]
     ends = reductions.groupBy("presentation").agg(
         F.min_by("original_rows", "step").alias("first_rows"),
         F.max_by("presented_rows", "step").alias("last_rows"),
     )
     tied = totals.join(ends, "presentation", "left")
-    loose = tied.filter(
-        F.col("first_rows").isNotNull()
-        & (
-            (F.col("first_rows") != F.col("original_rows"))
-            | (F.col("last_rows") != F.col("presented_rows"))
-        )
+    loose = F.col("first_rows").isNotNull() & (
+        (F.col("first_rows") != F.col("original_rows")) | (F.col("last_rows") != F.col("presented_rows"))
     )
-    hidden = tied.filter(
-        F.col("first_rows").isNull() & (F.col("original_rows") > F.col("presented_rows"))
-    )
-    none = F.lit(None).cast("bigint")
-    step = F.col("step").cast("bigint")
-    parts = [
-        unlinked.select("presentation", step.alias("step"), F.lit("CHAIN_BROKEN").alias("problem")),
-        growing.select("presentation", step.alias("step"), F.lit("NOT_A_REDUCTION").alias("problem")),
-        loose.select("presentation", none.alias("step"), F.lit("TOTALS_DISAGREE").alias("problem")),
-        hidden.select(
-            "presentation", none.alias("step"), F.lit("REDUCTION_UNDISCLOSED").alias("problem")
-        ),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    hidden = F.col("first_rows").isNull() & (F.col("original_rows") > F.col("presented_rows"))
+    of_totals = [F.when(loose, F.lit("TOTALS_DISAGREE")), F.when(hidden, F.lit("REDUCTION_UNDISCLOSED"))]
+
+    def problems(frame: DataFrame, step: Column, codes: list[Column]) -> DataFrame:
+        listed = F.explode(F.array_compact(F.array(*codes))).alias("problem")
+        return frame.select("presentation", step.cast("bigint").alias("step"), listed)
+
+    return problems(linked, F.col("step"), of_steps).unionByName(problems(tied, F.lit(None), of_totals))
 
 
 def size_check(df: DataFrame, *, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:

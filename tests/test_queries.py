@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from workload import registry
+from workload import files, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -56,3 +56,9 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(registry.ORACLE) == set(registry.QUERIES)
+
+
+def test_xml_files_grow_with_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch", lambda spark: str(tmp_path / "x"))
+    assert registry.QUERIES["xml_native_rows"](spark, FOLDER).count() == 100
+    assert len(list((tmp_path / "x").rglob("part-*.txt"))) == 1

@@ -137,8 +137,18 @@ def xml_broken_documents(spark, sf_dir):
 def xml_native_rows(spark, sf_dir):
     """The same records through Spark's XML reader."""
     path = scratch(spark)
-    # A folder per document, so that every file has one root element.
-    supplier_xml(spark, sf_dir).write.partitionBy("document").text(path)
+    # A folder per fifty documents' numbers, so that the files grow with the input and not
+    # their count; the documents stand below one root element.
+    bundle = F.floor(F.split_part("document", F.lit("/"), F.lit(2)).cast("bigint") / 50).alias("bundle")
+    document = F.replace("xml", F.lit('<?xml version="1.0"?>'), F.lit(""))
+    bundles = supplier_xml(spark, sf_dir).groupBy(bundle).agg(
+        F.concat(
+            F.lit('<?xml version="1.0"?><s:nations xmlns:s="urn:x">'),
+            F.array_join(F.array_sort(F.collect_list(document)), ""),
+            F.lit("</s:nations>"),
+        ).alias("value")
+    )
+    bundles.write.partitionBy("bundle").text(path)
     rows = xml_records.read_xml(spark, path, "s:supplier")
     picked = [F.col(f"`{c}`") for c in ("@key", "s:name", "s:account/s:balance", "s:account/@unit")]
     return rows.select(*picked).toDF("key", "name", "balance", "unit")
