@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievetable.operators import ordering, workbench
+from sievetable.operators import ordering, presentation, workbench
 from sievetable.sources import positions
 
 
@@ -95,3 +95,18 @@ def test_quantiles_need_no_ranges_of_every_row(spark, monkeypatch, kind):
     assert 1 < len(scans) <= workbench.SELECTION_ROUNDS
     # compared with a few values in the plan, not with a range for each row
     assert "lambda" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chain_is_looked_at_once(spark):
+    steps = [("a", 0, "f", 9, 5), ("a", 1, "f", 4, 4), ("b", 0, " ", 7, 3), ("c", 0, "f", 5, 2), ("c", 1, "f", 2, 1)]
+    reductions = spark.createDataFrame(steps, "presentation string, step int, method string, original_rows long, presented_rows long")
+    totals = spark.createDataFrame(
+        [("a", 8, 4), ("b", 7, 3), ("c", 5, 1), ("d", 5, 4), ("e", 5, 5)],
+        "presentation string, original_rows long, presented_rows long",
+    )
+    found = presentation.chain_problems(reductions, totals)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(
+        map(str, [("a", 1, "CHAIN_BROKEN"), ("a", 1, "NOT_A_REDUCTION"), ("b", 0, "NOT_A_REDUCTION"),
+                  ("a", None, "TOTALS_DISAGREE"), ("d", None, "REDUCTION_UNDISCLOSED")])
+    )
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
