@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from workload import files, registry
+from workload import files, paths, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -60,5 +60,30 @@ def test_every_query_has_sql():
 
 def test_xml_files_grow_with_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "scratch", lambda spark: str(tmp_path / "x"))
-    assert registry.QUERIES["xml_native_rows"](spark, FOLDER).count() == 100
+    suppliers = spark.read.parquet(f"{FOLDER}/supplier.parquet").count()
+    assert 1 < suppliers == registry.QUERIES["xml_native_rows"](spark, FOLDER).count()
     assert len(list((tmp_path / "x").rglob("part-*.txt"))) == 1
+
+
+@pytest.mark.parametrize(
+    "name, part, least",
+    [
+        ("json_array_splits", 20_000, 9),
+        ("csv_multiline_splits", 20_000, 3),
+        ("csv_multiline_roundtrip", 20_000, 4),
+        ("csv_multiline_validate", 20_000, 4),
+        ("open_ndjson_large", 20_000, 4),
+        ("json_parse_errors", 20_000, 4),
+        ("ndjson_validate", 2_000, 5),
+    ],
+)
+def test_a_larger_table_is_written_to_more_files(spark, duck, tmp_path, monkeypatch, name, part, least):
+    monkeypatch.setattr(paths, "PART_BYTES", part)
+    monkeypatch.setattr(paths, "scratch", lambda spark: str(tmp_path / "x"))
+    test_query(spark, duck, name)
+    assert len(list((tmp_path / "x").rglob("part-*"))) >= least
+
+
+def test_texts_stay_out_of_the_archives_tasks(spark):
+    plan = files.document_archives(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas build(doc_id" in plan and ", text#" not in plan.split("Relation")[0].split("Project")[0]

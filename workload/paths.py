@@ -19,19 +19,38 @@ from sievetable.errors import DataError
 from sievetable.operators import cube, export, lineage, quality, selection, snapshot
 from sievetable.plans import bounded, paths
 from sievetable.plans.staged import kept
-from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, json_items, ranges, tables
+from sievetable.sources import cube_files, delimited, headers, inventory, json_docs, json_items, positions, ranges, tables
 from workload.files import scratch
 from workload.quality import _GROUPED
 from workload.registry import query
 from workload.views import orders_dirty, table
 
 _ALL = bounded.QueryLimits(rows=None)
+# So many bytes of a table's files go into one written file.
+PART_BYTES = 16 * 1024 * 1024
+SPLIT_BYTES = (64 * 1024, 16 * 1024 * 1024)
+
+
+def scanned_bytes(frame):
+    """Bytes of the files that a frame reads, as its plan estimates them."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts(frame, least):
+    """How many files a frame is written to: a number that grows with it, so that no task gets more."""
+    return max(least, scanned_bytes(frame) // PART_BYTES)
+
+
+def split_bytes(files):
+    """Splits of 64 KiB for small files, and of up to 16 MiB where 256 splits are not enough."""
+    least, most = SPLIT_BYTES
+    return min(most, max(least, scanned_bytes(files) // 256))
 
 
 def written_documents(spark, sf_dir, target):
     path = scratch(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    export.write_table(documents.repartition(2, "doc_id"), path, target)
+    export.write_table(documents.repartition(parts(documents, 2), "doc_id"), path, target)
     return path
 
 
