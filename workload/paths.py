@@ -195,7 +195,8 @@ def json_parse_errors(spark, sf_dir):
     key = F.col("doc_id")
     line = F.to_json(F.struct(key.alias("id"), "text"))
     cut = F.when(key % 9 == 4, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
-    ordered = table(spark, sf_dir, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = documents.repartitionByRange(parts(documents, 3), "doc_id").sortWithinPartitions("doc_id")
     path = scratch(spark)
     ordered.select(cut.alias("value")).write.text(path)
     issues = tables.validate_json_lines(spark, path).filter("code = 'PARSE_ERROR'")
