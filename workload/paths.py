@@ -181,7 +181,7 @@ def ndjson_validate(spark, sf_dir):
     dirty = orders_dirty(spark, sf_dir)
     place = F.col("o_orderkey").cast("bigint")
     path = scratch(spark)
-    export.write_table(dirty.repartitionByRange(4, place).sortWithinPartitions(place), path, "ndjson")
+    export.write_table(dirty.repartitionByRange(parts(dirty, 4), place).sortWithinPartitions(place), path, "ndjson")
     return tables.validate_path(spark, path).select("code", "field", "row", "occurrences")
 
 
