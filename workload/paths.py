@@ -141,21 +141,29 @@ def csv_multiline_validate(spark, sf_dir):
     """SELECT doc_id, sha256(text) AS digest, row_number() OVER (ORDER BY doc_id) AS number, true AS many_splits FROM documents""",
 )
 def csv_multiline_splits(spark, sf_dir):
-    """One file whose quoted texts go over the borders of many splits, cut into its records."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+    """Files whose quoted texts go over the borders of many splits, cut into their records.
+
+    A small table is one file. A larger one is cut by its order, as one task writes a file.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch(spark)
-    export.write_table(documents.coalesce(1), path, "csv")
+    ranged = documents.repartitionByRange(parts(documents, 1), "doc_id").sortWithinPartitions("doc_id")
+    export.write_table(ranged, path, "csv")
+    written = spark.read.text(path)
+    files = len(written.inputFiles())
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "64k")
+    spark.conf.set(setting, str(split_bytes(written)))
     try:
         splits = spark.read.text(path).rdd.getNumPartitions()
         found = kept(delimited.data_records(spark, path, ",", "UTF-8"), "records")
     finally:
         spark.conf.set(setting, before)
     cells = delimited.parsed_records(found, documents.schema, ",", "FAILFAST")
-    return cells.select(
-        "doc_id", F.sha2("text", 256).alias("digest"), "number", F.lit(splits > 1).alias("many_splits")
+    # The names of the files have their order.
+    numbered = positions.number_file_rows(cells, [F.col("file")], F.col("number"), pieces=files, row="number", start=1)
+    return numbered.select(
+        "doc_id", F.sha2("text", 256).alias("digest"), "number", F.lit(splits > files).alias("many_splits")
     )
 
 
