@@ -232,27 +232,45 @@ def json_document_items(spark, sf_dir):
  true AS many_splits FROM documents""",
 )
 def json_array_splits(spark, sf_dir):
-    """Four arrays, each on many splits: items carry their place and their whole text."""
+    """Four lists as arrays on many splits: items carry their place and their whole text.
+
+    Of a small table each list is one array. Of a larger one it is cut by its order into
+    arrays of bounded size, as one task writes a file, and the places go on through them.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = parts(documents, 1)
+    ends = documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    width = 1 if ends.low is None else -(-(ends.high - ends.low + 1) // blocks)
+    block = F.floor((F.col("doc_id") - F.lit(ends.low)) / width).alias("block")
     part = F.pmod("doc_id", F.lit(4)).alias("part")
     item = F.concat(F.lit(","), F.to_json(F.struct("doc_id", "text")))
-    items = table(spark, sf_dir, "documents").select(part, F.lit(1).alias("turn"), "doc_id", item.alias("value"))
-    ends = spark.range(4).select(F.col("id").alias("part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("turn"))
+    items = documents.select(part, block, F.lit(1).alias("turn"), "doc_id", item.alias("value"))
     bracket = F.when(F.col("turn") == 0, F.lit('[{"doc_id":null}')).otherwise(F.lit("]"))
-    lines = items.unionByName(ends.select("part", "turn", F.lit(None).cast("bigint").alias("doc_id"), bracket.alias("value")))
+    frames = documents.select(part, block).distinct().withColumn("turn", F.explode(F.array(F.lit(0), F.lit(2))))
+    lines = items.unionByName(
+        frames.select("part", "block", "turn", F.lit(None).cast("bigint").alias("doc_id"), bracket.alias("value"))
+    )
     path = scratch(spark)
-    ordered = lines.repartition("part").sortWithinPartitions("part", "turn", "doc_id")
-    ordered.select("part", "value").write.partitionBy("part").text(path)
+    ordered = lines.repartition(4 * blocks, "part", "block").sortWithinPartitions("part", "block", "turn", "doc_id")
+    ordered.select("part", "block", "value").write.partitionBy("part", "block").text(path)
+    written = spark.read.text(path)
+    files = len(written.inputFiles())
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "64k")
+    spark.conf.set(setting, str(split_bytes(written)))
     try:
         splits = spark.read.text(path).rdd.getNumPartitions()
-        found = kept(json_items.read_items(spark, path).items.select("number", "value"), "items")
+        found = kept(json_items.read_items(spark, path).items.select("part", "block", "number", "value"), "items")
     finally:
         spark.conf.set(setting, before)
-    parsed = found.select("number", F.from_json("value", "doc_id bigint, text string").alias("item"))
+    # Each array starts with an item of its own, number 0.
+    earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("part", "block").agg(F.max("number").alias("last"))
+    offsets = sizes.select("part", "block", F.coalesce(F.sum("last").over(earlier), F.lit(0)).alias("offset"))
+    placed = found.join(F.broadcast(offsets), ["part", "block"]).withColumn("number", F.col("number") + F.col("offset"))
+    parsed = placed.select("number", F.from_json("value", "doc_id bigint, text string").alias("item"))
     digest = F.sha2("item.text", 256).alias("digest")
-    rows = parsed.select("item.doc_id", "number", digest, F.lit(splits > 4).alias("many_splits"))
+    rows = parsed.select("item.doc_id", "number", digest, F.lit(splits > files).alias("many_splits"))
     return rows.filter("doc_id IS NOT NULL")
 
 
