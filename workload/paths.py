@@ -292,9 +292,12 @@ def json_cells(spark, sf_dir):
 def file_sizes(spark, sf_dir):
     """Every page as a file, with its size from the inventory."""
     path = scratch(spark)
-    table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy(
-        "page_id"
-    ).text(path)
+    # A folder for a thousand pages; a task writes its files itself, so the driver moves none.
+    name = F.concat_ws("/", F.floor(F.col("page_id") / 1000), F.concat(F.lit("page_id="), "page_id"))
+    pages = table(spark, sf_dir, "pages").select(
+        name.alias("name"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).cast("binary").alias("content")
+    )
+    ranges.write_files(spark, pages.repartition(parts(pages, 2), "name"), path)
     found = inventory.read_corpus(spark, path)
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).alias("page"), "bytes")
 
