@@ -68,7 +68,7 @@ def test_xml_files_grow_with_bytes(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize(
     "name, part, least",
     [
-        ("json_array_splits", 20_000, 9),
+        ("json_array_splits", 40_000, 9),
         ("csv_multiline_splits", 20_000, 3),
         ("csv_multiline_roundtrip", 20_000, 4),
         ("csv_multiline_validate", 20_000, 4),
@@ -79,6 +79,7 @@ def test_xml_files_grow_with_bytes(spark, tmp_path, monkeypatch):
 )
 def test_a_larger_table_is_written_to_more_files(spark, duck, tmp_path, monkeypatch, name, part, least):
     monkeypatch.setattr(paths, "PART_BYTES", part)
+    monkeypatch.setattr(paths, "SPLIT_BYTES", (8_000, 8_000))
     monkeypatch.setattr(paths, "scratch", lambda spark: str(tmp_path / "x"))
     test_query(spark, duck, name)
     assert len(list((tmp_path / "x").rglob("part-*"))) >= least

@@ -28,7 +28,7 @@ from workload.views import orders_dirty, table
 _ALL = bounded.QueryLimits(rows=None)
 # So many bytes of a table's files go into one written file.
 PART_BYTES = 16 * 1024 * 1024
-SPLIT_BYTES = (64 * 1024, 16 * 1024 * 1024)
+SPLIT_BYTES = (64 * 1024, 4 * 1024 * 1024)
 
 
 def scanned_bytes(frame):
@@ -42,7 +42,7 @@ def parts(frame, least):
 
 
 def split_bytes(files):
-    """Splits of 64 KiB for small files, and of up to 16 MiB where 256 splits are not enough."""
+    """Splits of 64 KiB for small files, and of up to 4 MiB, below the size of a file, for large ones."""
     least, most = SPLIT_BYTES
     return min(most, max(least, scanned_bytes(files) // 256))
 
