@@ -7,10 +7,12 @@ far apart if the two differ by more than the wanted distance.
 Between unrelated texts every distance is one, and no window of distances separates
 them: pivots alone would copy nearly all classes into all regions. So the space is cut
 by rare shingles first. Shingles are ordered by how common they are, and a set's prefix
-is so long that two linked sets share ``SHARED`` shingles of it. A class that shares fewer
-with all others together has no link. The classes that hold a shingle in their prefix meet
-its pivot, the smallest class among them, and all classes that meet a pivot are its
-region. Every link lies in a region; a class on a border is in several.
+is so long that two linked sets share ``SHARED`` shingles of it, or one for each ``SPACING``
+shingles of the smaller set if that is more: long texts share a few with some others by
+chance, the more so the more texts there are. A class that shares fewer with all others
+together has no link. The classes that hold a shingle in their prefix meet its pivot, the
+smallest class among them, and all classes that meet a pivot are its region. Every link lies
+in a region; a class on a border is in several.
 
 A region that fits into a task is joined there, recursively: the pivot's links are
 confirmed, and what lies beyond, with the classes whose distance to the pivot is within
@@ -47,12 +49,15 @@ MOST_COMMON = 1 << 18
 BLOCK_SHINGLES = 4_000_000
 #: Classes of a region that one task joins.
 CELL = 1024
-#: Linked sets share so many shingles of their prefixes, or as many as they can.
+#: Linked sets share so many shingles of their prefixes, or as many as they can; long ones
+#: share one for each ``SPACING`` shingles.
 SHARED = 8
+SPACING = 10
 PEELINGS = 2
 ROUNDS = 4
-#: Sets of pivots are broadcast up to this size.
+#: Sets of pivots and keys of texts are broadcast up to this size.
 BROADCAST_BYTES = 32 << 20
+KEY_BYTES = 16
 #: Above the rounding of a distance; windows are this much wider.
 SLACK = 1e-9
 
@@ -103,12 +108,12 @@ def common_shingles(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarr
 
 
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity_pct: int) -> np.ndarray:
-    """The first shingles of a set in the order: two linked sets share ``SHARED`` of them."""
+    """The first shingles of a set in the order: two linked sets share as many as the smaller has beyond its rest."""
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
     needed = -(-similarity_pct * len(found) // 100)
-    return found[: len(found) - needed + min(SHARED, needed)]
+    return found[: len(found) - needed + min(max(SHARED, len(found) // SPACING), needed)]
 
 
 def shared_least(n: Column, similarity_pct: int) -> Column:
@@ -116,7 +121,9 @@ def shared_least(n: Column, similarity_pct: int) -> Column:
 
     The other set may have fewer shingles, and so a lower bound of its own.
     """
-    return F.least(F.lit(SHARED), F.ceil(n * (similarity_pct * similarity_pct) / 10_000))
+    smallest = F.ceil(n * similarity_pct / 100)
+    wanted = F.greatest(F.lit(SHARED).cast("bigint"), F.floor(smallest / SPACING))
+    return F.least(wanted, F.ceil(n * (similarity_pct * similarity_pct) / 10_000))
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity_pct: int) -> DataFrame:
@@ -151,7 +158,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def region_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(cls, n, shingles) of the wanted classes (cls, id, text_hash, set), from one text of each."""
+    """(cls, n, shingles) of the wanted classes (cls, id, text_hash, set), from one text of each.
+
+    Only texts with a wanted key are shuffled, and repeated rows meet where they are joined.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -161,10 +171,12 @@ def region_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 {"cls": [c for c, _ in same], "n": [len(x) for _, x in same], "shingles": [x.tobytes() for _, x in same]}
             )
 
-    ids = wanted.select("cls", "set", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    text = keyed(docs, id_col, text_col)
-    rows = text.join(ids, text["id"].eqNullSafe(F.col("__id")) & (text["text_hash"] == F.col("__hash")))
-    one = rows.select("cls", "set", "text").dropDuplicates(["cls"])
+    key = F.xxhash64("id", "text_hash").alias("key")
+    ids = written(wanted.select(key, "cls", "set"), "wanted")
+    text = keyed(docs, id_col, text_col).select(key, "text")
+    if ids.count() * KEY_BYTES <= BROADCAST_BYTES:  # else all texts are shuffled
+        text = text.join(F.broadcast(ids.select("key").distinct()), "key", "left_semi")
+    one = text.join(ids, "key").dropDuplicates(["key", "cls", "text"])
     return one.mapInPandas(run, "cls bigint, n bigint, shingles binary")
 
 

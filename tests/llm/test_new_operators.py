@@ -75,6 +75,58 @@ def test_linked_sets_share_a_shingle_of_their_prefixes(seed):
                 assert firsts[i] & firsts[j]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_linked_sets_share_as_many_of_their_prefixes_as_is_said(spark, seed):
+    sets = random_sets(seed, 12, 400)
+    keys, n = np.unique(np.concatenate(sets), return_counts=True)
+    firsts = [set(metric.prefix(x, keys[n > 1], n[n > 1], 80).tolist()) for x in sets]
+    sizes = spark.createDataFrame([(len(x),) for x in sets], "n long")
+    least = [r[0] for r in sizes.select(metric.shared_least(sizes["n"], 80)).collect()]
+    assert max(least) > metric.SHARED
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                assert len(firsts[i] & firsts[j]) >= max(least[i], least[j])
+
+
+def test_long_texts_that_share_a_few_shingles_by_chance_are_in_no_region(spark, shared_dir, monkeypatch):
+    wanted = []
+    region_sets = metric.region_sets
+
+    def counted(docs, classes, *args):
+        wanted.append(classes.count())
+        return region_sets(docs, classes, *args)
+
+    monkeypatch.setattr(metric, "region_sets", counted)
+    rng = random.Random(4)
+    passages = [" ".join(f"p{rng.randrange(10**9)}" for _ in range(7)) for _ in range(20)]
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(600)]
+        for k in range(4):  # three shingles each, held by two texts
+            words[100 * k] = passages[(i // 2 * 2 + k) % 20] if k < 2 else passages[(i + k) % 20]
+        rows.append((i, " ".join(words)))
+    rows += [(20, rows[0][1]), (21, rows[1][1] + " end"), (22, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in metric.jaccard_components(docs).collect()}
+    assert got == {i: i for i in range(20)} | {20: 0, 21: 1, 22: 1}
+    assert wanted == [2]
+
+
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_sets_come_from_one_text_of_repeated_rows(spark, shared_dir, monkeypatch, size):
+    monkeypatch.setattr(metric, "BROADCAST_BYTES", size)
+    rows = [(None, text(9)), (None, text(9)), (7, text(30)), (7, text(30)), (7, text(31)), (8, text(32))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = metric.keyed(docs, "doc_id", "text").distinct().where("id IS NULL OR id = 7").collect()
+    classes = [(i, r.id, r.text_hash, bytearray(metric.set_key(metric.shingles(r.text, 5)))) for i, r in enumerate(ids)]
+    wanted = spark.createDataFrame(classes, "cls long, id long, text_hash long, set binary")
+    got = {r.cls: bytes(r.shingles) for r in metric.region_sets(docs, wanted, "doc_id", "text", 5).collect()}
+    assert got == {i: metric.shingles(r.text, 5).tobytes() for i, r in enumerate(ids)}
+    assert metric.region_sets(docs, wanted, "doc_id", "text", 5).count() == 3
+
+
 def test_ids_that_are_null_or_repeated(spark, shared_dir):
     rows = [(None, text(9)), (7, text(9)), (None, text(10)), (7, text(11)), (8, text(11)), (8, text(9))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
