@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievetable.operators import ordering, presentation, workbench
 from sievetable.sources import positions
+from workload import tables
 
 
 @pytest.mark.parametrize("by", [(), ("g",)])
@@ -110,3 +111,15 @@ def test_chain_is_looked_at_once(spark):
                   ("a", None, "TOTALS_DISAGREE"), ("d", None, "REDUCTION_UNDISCLOSED")])
     )
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_chain_has_as_many_tasks_as_its_lines_need(spark, tmp_path, monkeypatch):
+    lines = spark.range(4_000).select((F.col("id") / 4).cast("long").alias("l_orderkey"))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 100)
+    found = tables.present_chain(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("l_orderkey" in x and ", 40), REPARTITION_BY_NUM" in x for x in exchanges)
+    broken = sorted(r.presentation for r in found.where("problem = 'CHAIN_BROKEN'").collect())
+    assert broken == [i for i in range(1_000) if i % 7 == 0 or i % 11 == 0]

@@ -13,6 +13,8 @@ from workload.views import ORDERS_DIRTY_COLUMNS, ORDERS_DIRTY_SQL, orders_dirty,
 
 _DIRTY = f"WITH {ORDERS_DIRTY_SQL}"
 
+LINES_PER_TASK = 250_000
+
 
 @query(
     "spreadsheet_safe",
@@ -513,9 +515,14 @@ def present_size(spark, sf_dir):
 
 
 def _reductions(spark, sf_dir):
-    """A chain per order: each line is a step; some steps are broken on purpose."""
-    lines = table(spark, sf_dir, "lineitem")
-    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    """A chain per order: each line is a step; some steps are broken on purpose.
+
+    Steps are made, sorted and summed up where the lines of their order are, so the tasks
+    are as many as the lines need, whatever the number of shuffle partitions.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    tasks = max(1, -(-lines.count() // LINES_PER_TASK))
+    sizes = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
     steps = sizes.select(
         F.col("l_orderkey").alias("presentation"),
         "lines",
