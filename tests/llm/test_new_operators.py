@@ -99,14 +99,13 @@ def test_long_texts_that_share_a_few_shingles_by_chance_are_in_no_region(spark,
         return region_sets(docs, classes, *args)
 
     monkeypatch.setattr(metric, "region_sets", counted)
+    monkeypatch.setattr(metric, "MOST_COMMON", 0)
     rng = random.Random(4)
-    passages = [" ".join(f"p{rng.randrange(10**9)}" for _ in range(7)) for _ in range(20)]
+    passages = [[f"p{rng.randrange(10**9)}" for _ in range(104)] for _ in range(10)]
     rows = []
-    for i in range(20):
-        words = [f"w{rng.randrange(10**9)}" for _ in range(600)]
-        for k in range(4):  # three shingles each, held by two texts
-            words[100 * k] = passages[(i // 2 * 2 + k) % 20] if k < 2 else passages[(i + k) % 20]
-        rows.append((i, " ".join(words)))
+    for i in range(20):  # two texts each have 100 of their 620 shingles in common
+        words = [f"w{rng.randrange(10**9)}" for _ in range(520)]
+        rows.append((i, " ".join(words + passages[i // 2])))
     rows += [(20, rows[0][1]), (21, rows[1][1] + " end"), (22, rows[1][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in metric.jaccard_components(docs).collect()}
