@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sievetable.llm import decontaminate, minhash, private, rules, suffixes
+from sievetable.llm import decontaminate, minhash, private, queries, rules, suffixes
 from tests.llm import brute
 from tests.llm.conftest import changed, hard_rows, text
 
@@ -137,6 +138,37 @@ def test_repeated_strings_of_nothing(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_a_run_of_one_character_is_spread(spark, shared_dir, monkeypatch):
+    """It has a context at each byte, all alike: most rows of the table, but not of one task."""
+    tables, written = {}, suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda frame, name: tables.setdefault(name, written(frame, name)))
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 200, raising=False)
+    rows = [(1, "x" * 9000 + text(1)), (2, text(2) + "x" * 6000), (3, text(3)), (4, text(3, 200))]
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in large}
+    try:
+        for name, value in large.items():
+            spark.conf.set(name, value)
+        got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    found = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), brute.sha(bytes(r.kept))) for r in got)
+    assert found == sorted(brute.without_repeats(rows))
+    tasks = [r["count"] for r in tables["shared"].groupBy(F.input_file_name()).count().collect()]
+    assert max(tasks) < 0.6 * sum(tasks)
+
+
+def test_what_is_left_is_returned_as_text(spark, shared_dir, tmp_path):
+    """Cuts between characters leave the text as it is; parted characters show as U+FFFD."""
+    rows = [(1, "left č " + "p" * 500 + " right"), (2, "other " + "p" * 500), (3, None), (4, "ab")]
+    rows += [(5, "č" + "\u010e" + "q" * 500), (6, "\u024e" + "q" * 500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "left č right", 2: "other", 3: "", 4: "ab", 5: "č\ufffd", 6: "\ufffd"}
+    assert [got[i].kept_sha256 for i in (1, 5)] == [brute.sha("left č right".encode()), brute.sha(b"\xc4\x8d\xc4")]
+
+
 def test_contexts_in_chunks(monkeypatch):
     data = (text(8, 3000) + text(9, 200) + text(8, 3000)).encode()
     whole = {(p, s) for _, p, a, b in suffixes.contexts(data) for s in range(a, b + 1)}
